@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lobule.llm import clusters, neighbours
-from lobule.shared import scaled_features, stage, table
+from lobule.llm import clusters, digests, neighbours, packing, splits
+from lobule.shared import scaled_features, stage, table, usable
 
 # The profile features and positions of the cell table.
 PROFILE = ["mito_density", "mito_avg_area", "mito_aspect_ratio", "mito_percent_total_area", "mito_distance_from_edge", "peroxisome_density", "peroxisome_avg_area", "peroxisome_circularity", "peroxisome_distance_from_edge", "ld_density", "ld_avg_area", "ld_percent_total_area"]
@@ -57,3 +57,81 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     typical = some.withColumn("n", F.row_number().over(Window.partitionBy("group_no").orderBy(*order))).where("n <= 5")
     lists = typical.groupBy("group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "row_id"))), lambda x: x["row_id"]).alias("typical_cells"))
     return members.groupBy("group_no").agg(F.count("*").alias("size")).join(lists, "group_no")
+
+
+def mito_values(spark: SparkSession, d: str) -> DataFrame:
+    """The counted mitochondria: (liver_code, tile_section, zone, day, value), rows equal but for row_id and loaded_at once."""
+    mito = table(spark, d, "fig5_ivm_control_group_mitochondria_properties")
+    limit = table(spark, d, "feature_scale").where("feature = 'ratio_01_00'").select("valid_min", "valid_max").first()
+    label = r"(?i)^\s*CL0*(\d+)TS0*(\d+)R\d+Z\d+_\d+\s*$"
+    zone = F.upper(F.regexp_replace("PV_CV", r"\s", ""))
+    rows = mito.where(F.col("cell_label").rlike(label) & zone.isin("PV", "CV") & usable("ratio_01_00", limit[0], limit[1]))
+    content = [F.col(f"`{c}`") for c in mito.columns if c not in ("row_id", "loaded_at")]
+    rows = rows.select(
+        F.concat(F.lit("CL"), F.regexp_extract("cell_label", label, 1)).alias("liver_code"), F.concat(F.lit("TS"), F.regexp_extract("cell_label", label, 2)).alias("tile_section"),
+        zone.alias("zone"), F.to_date("acquired_at").alias("day"), F.col("ratio_01_00").alias("value"), F.xxhash64(*content).alias("h1"), F.xxhash64(*content, F.lit(1)).alias("h2"),
+    )
+    return rows.distinct().drop("h1", "h2")  # 128 bits stand for the other columns of a row
+
+
+P3_KEYS, P3_LEAST = ["liver_code", "tile_section", "zone"], 150
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The 5th, 50th, 95th and 99th percentile of the ratio of every liver, tile and zone, each with its certified rank error."""
+    percents = sorted(r[0] for r in table(spark, d, "tmrm_limits").select("pct").distinct().collect())
+    return digests.percentiles(mito_values(spark, d), P3_KEYS, ["day"], percents)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles outside their limits, of liver-tile-zones with at least 150 counted rows."""
+    limits = table(spark, d, "tmrm_limits").withColumn("percent", F.col("pct").cast("double"))
+    found = p3_percentiles(spark, d).where(F.col("n") >= P3_LEAST).join(F.broadcast(limits), ["zone", "percent"])
+    return found.where("estimate < lower_limit or estimate > upper_limit").select(*P3_KEYS, "pct")
+
+
+def code(text: Column) -> Column:
+    """A liver code as capital letters then number, without blanks, hyphens and leading zeros; null where it is none."""
+    bare = F.upper(F.regexp_replace(text, r"[\s-]", ""))
+    return F.when(bare.rlike(r"^[A-Z]+\d+$"), F.regexp_replace(bare, r"^([A-Z]+)0*(\d+)$", "$1$2"))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """All cells and mitochondria: (tab, row_id, codes, stratum); strata are the condition, and the zone."""
+    cells, mito = table(spark, d, "full_concat_clusters"), table(spark, d, "fig5_ivm_control_group_mitochondria_properties")
+    acinus = F.regexp_extract_all("labels", F.lit(r"(?i)(?:CNT|STV|WD)_(L\d+)L\d+a\d+s\d+_\d+"), F.lit(1))
+    tile = F.regexp_extract_all("labels", F.lit(r"(?i)([A-Z]+[ -]*\d+)TS\d+"), F.lit(1))
+    codes = F.transform(F.concat(acinus, tile), code)
+    group = F.upper(F.trim("group"))
+    condition = F.when(group.isin("CNT", "1"), "CNT").when(group.isin("STV", "2"), "STV").when(group.isin("WD", "3"), "WD").otherwise("unknown")
+    of_cells = cells.select(F.lit("cells").alias("tab"), "row_id", codes.alias("codes"), condition.alias("stratum"))
+    before = F.nullif(F.regexp_extract("cell_label", r"(?i)([A-Z]+[ -]*\d+)TS\d+", 1), F.lit(""))
+    zone = F.upper(F.regexp_replace("PV_CV", r"\s", ""))
+    of_mito = mito.select(F.lit("mito").alias("tab"), "row_id", F.array(F.coalesce(code(before), code(F.col("liver_id")))).alias("codes"), F.when(zone.isin("PV", "CV"), zone).otherwise("none").alias("stratum"))
+    return of_cells.unionByName(of_mito)
+
+
+def same_animal(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "specimen_links").where("link_kind in ('same_animal', 'reimaged', 'renamed') and status = 'confirmed'")
+    return links.select(code(F.col("code_a")).alias("a"), code(F.col("code_b")).alias("b"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's animal, by the smallest of the animal's liver codes; records without a code have none."""
+    return splits.entities(records(spark, d), same_animal(spark, d)).where("entity is not null").select("tab", "row_id", "entity")
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Train, validation or test (80 / 10 / 10) for every record; all records of one animal get the same."""
+    named = stage(splits.entities(records(spark, d), same_animal(spark, d)).select("tab", "row_id", "entity", F.concat_ws(":", "tab", "stratum").alias("stratum")), "entities")
+    return splits.assign_splits(named, {"train": 0.8, "validation": 0.1, "test": 0.1}).select("tab", "row_id", "entity", "split")
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces and their containers of 2,048 tokens."""
+    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", 2048).withColumnRenamed("id", "doc_id")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How full each container is."""
+    return p6_packing(spark, d).where("container is not null").groupBy("container").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("used"), (2048 - F.sum("n_tokens")).alias("unused"))
