@@ -55,6 +55,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     stock: dict[int, list[int]] = {}
     for i in np.argsort(sizes, kind="stable")[::-1].tolist():
         stock.setdefault(int(sizes[i]), []).append(i)
+    left = np.bincount(sizes, minlength=capacity + 1)
     there = 0  # bit s: an item of size s is left
     for s in stock:
         there |= 1 << s
@@ -65,6 +66,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     def take(s: int) -> int:
         nonlocal there
         i = stock[s].pop()
+        left[s] -= 1
         if not stock[s]:
             there ^= 1 << s
         return i
@@ -73,6 +75,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
         nonlocal there
         s = int(sizes[i])
         stock[s].append(i)
+        left[s] += 1
         there |= 1 << s
 
     number = 0
@@ -84,14 +87,15 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
         while gap and len(held) > 1 and there:
             small = min(held, key=lambda i: (sizes[i], i))
             room, best, pair = gap + int(sizes[small]), int(sizes[small]), None
-            a = largest(room - 1)
-            while a > 0 and 2 * a >= best and best < room:
-                b = largest(min(a, room - a))
-                if b == a and len(stock[a]) < 2:
-                    b = largest(a - 1)
-                if b > 0 and a + b > best:
-                    best, pair = a + b, (a, b)
-                a = largest(a - 1)
+            have = np.where(left[:room] > 0, np.arange(room), 0)  # sizes below room that are left
+            below = np.maximum.accumulate(have)  # the largest of them up to each size
+            a = np.flatnonzero(have)
+            b = below[room - a]
+            b = np.where((b == a) & (left[a] < 2), below[a - 1], b)
+            both = np.where(b > 0, a + b, 0)
+            if len(both) and both.max() > best:
+                at = both.argmax()
+                best, pair = int(both[at]), (int(a[at]), int(b[at]))
             if pair is None:
                 break
             held.remove(small)

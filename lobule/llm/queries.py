@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lobule.llm import clusters, digests, neighbours, packing, splits
+from lobule.llm import clusters, digests, leakage, neighbours, packing, splits
 from lobule.shared import scaled_features, stage, table, usable
 
 # The profile features and positions of the cell table.
@@ -135,3 +135,13 @@ def p6_packing(spark: SparkSession, d: str) -> DataFrame:
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """How full each container is."""
     return p6_packing(spark, d).where("container is not null").groupBy("container").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("used"), (2048 - F.sum("n_tokens")).alias("unused"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and evaluation item that share a passage, with the shares of the item's words and characters found."""
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat at least 30 % of an item's words in runs of 8 or more."""
+    return p7_leaks(spark, d).where("word_share >= 0.3").select("doc_id", "item_id").distinct()
