@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lobule.llm import clusters, digests, leakage, neighbours, packing, splits
+from lobule.llm import clusters, digests, leakage, neighbours, packing, personal, splits
 from lobule.shared import scaled_features, stage, table, usable
 
 # The profile features and positions of the cell table.
@@ -145,3 +145,14 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat at least 30 % of an item's words in runs of 8 or more."""
     return p7_leaks(spark, d).where("word_share >= 0.3").select("doc_id", "item_id").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with typed placeholders for personal information."""
+    return personal.redact(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "redacted", F.size("found").alias("pieces"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each piece of personal information, once per document."""
+    found = personal.redact(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.explode("found").alias("f"))
+    return found.select("doc_id", F.col("f.kind").alias("kind"), F.col("f.text").alias("found_text")).distinct()
