@@ -391,7 +391,7 @@ def training(sentences: int = TRAINING_SENTENCES, seed: int = 1) -> list[tuple[s
         return number(form.replace("(###)", "(5##)").replace("###.###.####", "7##.###.####"))
 
     def identity() -> tuple[str, str]:
-        return pick([("SSN", "###-##-####"), ("SSN:", "### ## ####"), ("social security number", "#########"), ("NINO", "@@######B"), ("NI number", "@@ ## ## ## C"), ("passport no.", "@@#######"), ("passport", "X########"), ("staff ID", "@@-#####"), ("employee no.", "E###.###"), ("DNI", "########@"), ("NIR", "1 ## ## ## ### ### ##"), ("national ID", "######-####"), ("health insurance no.", "@### ### ###"), ("Ausweis-Nr.", "L#@@#####")])
+        return pick([("SSN", "###-##-####"), ("SSN:", "### ## ####"), ("SSN:", "000 ## ####"), ("SSN", "00#-##-####"), ("social security number", "#########"), ("NINO", "@@######B"), ("NI number", "@@ ## ## ## C"), ("passport no.", "@@#######"), ("passport", "X########"), ("staff ID", "@@-#####"), ("employee no.", "E###.###"), ("DNI", "########@"), ("NIR", "1 ## ## ## ### ### ##"), ("national ID", "######-####"), ("health insurance no.", "@### ### ###"), ("Ausweis-Nr.", "L#@@#####")])
 
     def address() -> str:
         town, street = made_up() + pick(["ton", "ville", "berg", "ford", ""]), made_up()
@@ -480,7 +480,7 @@ def models(sentences: int = TRAINING_SENTENCES) -> list[tuple[Trees, float, floa
 
 def select(found: list[tuple[int, int, int]], chance: np.ndarray, thresholds: list[float]) -> list[tuple[int, int, int]]:
     """Of the spans above their thresholds, without overlap, the likeliest, then the longest."""
-    order = sorted((i for i, (k, _, _) in enumerate(found) if chance[i] >= thresholds[k]), key=lambda i: (-round(float(chance[i]), 2), found[i][1] - found[i][2], found[i]))
+    order = sorted((i for i, (k, _, _) in enumerate(found) if chance[i] >= thresholds[k]), key=lambda i: (-round(float(chance[i]), 3), found[i][1] - found[i][2], found[i]))
     kept: list[tuple[int, int, int]] = []
     for i in order:
         _, a, b = found[i]
