@@ -67,8 +67,8 @@ def adjacency_test(edges: DataFrame, labels: DataFrame, keys: list[str], categor
         mixed = permute_within(labels, keys, category, "id", seed=run + 1).select(*keys, "id", F.col("shuffled").alias(category))
         part = adjacency(edges, mixed, keys, category).withColumn("run", F.lit(run))
         null = part if null is None else null.unionByName(part)
-    sums = null.groupBy(*keys, "ci", "cj").agg((F.sum("n") / times).alias("mean"), F.collect_list("n").alias("all"))
-    joined = seen.join(sums, [*keys, "ci", "cj"], "left").withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "all": F.coalesce("all", F.array().cast("array<bigint>"))})
+    sums = null.groupBy(*keys, "ci", "cj").agg((F.sum("n") / times).alias("mean"), F.collect_list("n").alias("_runs"))
+    joined = seen.join(sums, [*keys, "ci", "cj"], "left").withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "_runs": F.coalesce("_runs", F.array().cast("array<bigint>"))})
     away = F.abs(F.col("n") - F.col("mean"))
-    hits = F.size(F.filter("all", lambda v: F.abs(v - F.col("mean")) >= away)) + F.when(F.abs(F.col("mean")) >= away, times - F.size("all")).otherwise(0)
+    hits = F.size(F.filter("_runs", lambda v: F.abs(v - F.col("mean")) >= away)) + F.when(F.abs(F.col("mean")) >= away, times - F.size("_runs")).otherwise(0)
     return joined.select(*keys, "ci", "cj", "n", "mean", ((hits + 1) / (times + 1)).alias("p"))
