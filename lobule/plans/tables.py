@@ -263,7 +263,7 @@ def bin_category_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curves(spark: SparkSession, d: str) -> DataFrame:
-    return B.diversity_curve(known_cells(spark, d), ["condition"], F.col("position"), "cat", LOW, HIGH, BINS, 8)
+    return B.diversity_curve(known_cells(spark, d), ["condition"], F.col("position"), "cat", LOW, HIGH, BINS, 5)
 
 
 _CURVE = f"{_P}, i AS (SELECT condition, bin, CAST(sum(n) AS BIGINT) AS n_cells, sum(-share * log2(share)) AS h, sum(share * share) AS dd FROM s GROUP BY ALL), g AS (SELECT x.condition, CAST(b.bin AS INTEGER) AS bin FROM (SELECT DISTINCT condition FROM p) x, (SELECT unnest(range({BINS})) AS bin) b), w AS (SELECT g.condition, g.bin, coalesce(n_cells, 0) AS n_cells, h, dd, h / log2(5) AS e FROM g LEFT JOIN i ON g.condition = i.condition AND g.bin = i.bin)"
