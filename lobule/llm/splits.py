@@ -62,17 +62,17 @@ def assign_splits(records: DataFrame, proportions: dict[str, float], seed: int =
     """
     names, share = list(proportions), np.array(list(proportions.values()), float)
     share = share / share.sum()
-    counts = stage(records.where("entity is not null").groupBy("entity", F.coalesce("stratum", F.lit("\0null")).alias("stratum")).agg(F.count("*").alias("n")), "counts")
+    counts = stage(records.where("entity is not null").groupBy("entity", F.coalesce(F.concat(F.lit("s:"), "stratum"), F.lit("none")).alias("stratum")).agg(F.count("*").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     sizes = counts.groupBy("entity").agg(F.sum("n").alias("size"))
-    bundle = F.concat(F.lit("\0"), F.pmod(F.xxhash64("entity", F.lit(seed)), F.lit(BUNDLES)).cast("string"))
-    units = stage(sizes.select("entity", F.when(F.col("size") * BIG_SHARE >= total, F.col("entity")).otherwise(bundle).alias("unit")), "units")
+    bundle = F.concat(F.lit("b:"), F.pmod(F.xxhash64("entity", F.lit(seed)), F.lit(BUNDLES)).cast("string"))
+    units = stage(sizes.select("entity", F.when(F.col("size") * BIG_SHARE >= total, F.concat(F.lit("e:"), "entity")).otherwise(bundle).alias("unit")), "units")
     table = counts.join(units, "entity").groupBy("unit", "stratum").agg(F.sum("n").alias("n")).toPandas()  # at most (BIG_SHARE + BUNDLES) x strata
     chosen: dict[str, str] = {}
     if len(table):
         wide = table.pivot_table(index="unit", columns="stratum", values="n", fill_value=0, aggfunc="sum").sort_index()
-        wide["\0size"] = wide.sum(axis=1)
-        wide = wide.iloc[np.argsort(-wide["\0size"].to_numpy(), kind="stable")]
+        wide["size"] = wide.sum(axis=1)
+        wide = wide.iloc[np.argsort(-wide["size"].to_numpy(), kind="stable")]
         rows = wide.to_numpy(float)
         want = np.maximum(np.outer(share, rows.sum(0)), 1e-9)
         have = np.zeros_like(want)
