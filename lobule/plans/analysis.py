@@ -513,3 +513,79 @@ def mlp_confusion(spark: SparkSession, d: str) -> DataFrame:
     train = stage(rows.where(W.is_train(F.col("row_id"))).select("y", *FEATURES), "train")
     layers = M.fit_mlp(train, FEATURES, "y", 3, (64, 64, 64), 15)
     return M.confusion(M.predict_mlp(rows.where(~W.is_train(F.col("row_id"))), FEATURES, layers), "y", "predicted").select("truth", "predicted", "n", r("percent", 3).alias("percent"))
+
+
+@query()
+def graph_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the neighbour graph and their sizes."""
+    from lobule.operators import communities as N
+
+    return N.modularity_communities(neighbour_graph(spark, d)).groupBy("community").agg(F.count("*").alias("n"))
+
+
+@query()
+def community_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Communities over settings, with their measures and the best setting."""
+    from lobule.operators import communities as N
+
+    v, out = vectors(spark, d), []
+    for k in (6, 10):
+        edges = stage(G.affinity(stage(G.knn(v, "row_id", VECTOR, k), "knn"), k), "affinity")
+        for resolution in (0.5, 1.0):
+            labels = stage(N.modularity_communities(edges, resolution, 5, 2), "labels")
+            labelled = v.join(labels.withColumnRenamed("node", "row_id"), "row_id")
+            out.append((k, resolution, labels.select("community").distinct().count(), N.modularity(edges, labels), K.davies_bouldin(labelled, "community", VECTOR).first()["davies_bouldin"]))
+    best = max(out, key=lambda x: (x[3], -x[0], -x[1]))
+    return spark.createDataFrame([(*o[:3], round(o[3], 5), None if o[4] is None else round(o[4], 5), o == best) for o in out], "k int, resolution double, clusters long, modularity double, davies_bouldin double, best boolean")
+
+
+@query()
+def mixture_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of mixtures fitted to subsamples, for two to four components."""
+    from lobule.operators import communities as N
+
+    names = ["component_1", "component_2"]
+    known = stage(K.component_scores(cells(spark, d).na.drop(subset=FEATURES), FEATURES, K.principal_components(cells(spark, d), FEATURES), 2).select("row_id", *names), "scores")
+    out = []
+    for k in (2, 3, 4):
+        fit = lambda part, k=k: K.mixture_labels(part, names, K.gaussian_mixture(part, names, k, starts=2, rounds=25)).withColumnRenamed("prediction", "label")
+        s = N.summary(N.stability(known, "row_id", fit, 3))
+        out.append((k, *[round(x, 5) for x in s.values()], round(N.penalised(s["mean"], s["std"], k), 5)))
+    return spark.createDataFrame(out, "k int, mean double, std double, q10 double, q90 double, score double")
+
+
+@query(f"{_V}, pr AS (SELECT a.row_id AS src, b.row_id AS dst, {_D('a', 'b')} AS d FROM k a JOIN k b ON a.row_id <> b.row_id), nn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS place FROM pr QUALIFY place <= 10), t AS (SELECT src, d, max(d) OVER (PARTITION BY src) AS top FROM nn WHERE d > 0), e AS (SELECT src, avg(ln(top / d)) AS m FROM t WHERE d < top GROUP BY src) SELECT count(*) AS n, round(avg(1 / m), 5) AS dimension FROM e WHERE m > 0")
+def intrinsic_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """Dimension from the growth of neighbour distances."""
+    from lobule.operators import communities as N
+
+    return N.intrinsic_dimension(G.knn(vectors(spark, d), "row_id", VECTOR, 10)).select("n", r("dimension", 5).alias("dimension"))
+
+
+@query()
+def alignment_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """How often each pair of categories is matched in Poisson resamples, and its mean consensus."""
+    c = stage(cells(spark, d, []).where("cat is not null and position is not null and condition in ('CNT', 'STV')").select("row_id", "condition", "cat", "position"), "aligned")
+    drawn = stage(W.bootstrap(c, "row_id", 5).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), "resamples")
+    out = None
+    for run in range(5):
+        part = drawn.where(F.col("run") == run)
+        left, right = part.where("condition = 'CNT'").select(F.col("cat").alias("a"), F.col("position").alias("x")), part.where("condition = 'STV'").select(F.col("cat").alias("b"), F.col("position").alias("x"))
+        weights = stage(A.consensus(left, right), "consensus")
+        matched = A.assign(weights).select("a", "b", F.lit(1).alias("m"))
+        one = weights.join(matched, ["a", "b"], "left").select("a", "b", "consensus", F.coalesce("m", F.lit(0)).alias("m"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("a", "b").agg(r(F.sum("m") / 5, 4).alias("matched"), r(F.avg("consensus"), 5).alias("consensus"))
+
+
+@query()
+def root_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Spread of pseudotime over three choices of roots."""
+    v, edges = vectors(spark, d), neighbour_graph(spark, d)
+    nodes, out = edges.select(F.col("src").alias("node")).distinct(), None
+    for run in range(3):
+        roots = W.hash_sample(v.where("cat = 1"), "row_id", 5, seed=run).select(F.col("row_id").alias("node"))
+        part = G.pseudotime(nodes, G.shortest_paths(edges, roots), roots)
+        out = part if out is None else out.unionByName(part)
+    each = out.groupBy("node").agg(F.avg("pseudotime").alias("mean"), F.max("pseudotime").alias("top"), F.min("pseudotime").alias("low"))
+    return each.agg(F.count("*").alias("n"), r(F.avg("mean"), 5).alias("mean"), r(F.avg(F.col("top") - F.col("low")), 5).alias("spread"))

@@ -209,3 +209,14 @@ def test_grouping(spark):
     assert {(r["k"], r["share"]) for r in grouping.composition(df, ["k"], ["x"]).collect()} == {(1, 1.0), (2, 0.0)}
     with pytest.raises(ValueError):
         grouping.assert_unique(df, "k", "id")
+
+
+def test_communities_of_two_cliques(spark):
+    from lobule.operators import communities
+
+    pairs = [(i, j) for g in (range(6), range(6, 12)) for i in g for j in g if i != j] + [(0, 6), (6, 0)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double")
+    labels = communities.modularity_communities(edges)
+    got = {r["node"]: r["community"] for r in labels.collect()}
+    assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(6, 12)}) == 1 and got[0] != got[6]
+    assert communities.modularity(edges, labels) > 0.4
