@@ -14,6 +14,7 @@ from lobule.functions.cleaning import col
 from lobule.shared import stage
 
 BLOCK = 4096
+HELD = 5_000_000  # edges of a chain that one task holds
 
 
 def knn(df: DataFrame, key: str, columns: list[str], k: int, metric: str = "euclidean") -> DataFrame:
@@ -130,22 +131,90 @@ def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 200) -> Dat
     return seen
 
 
-def first_hits(p: DataFrame, start: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_rounds: int = 500) -> DataFrame:
+def first_hits(p: DataFrame, start: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_rounds: int = 20_000, held: int = HELD) -> DataFrame:
     """(target, via, prob): chance that a walk from `start` (node, mass) enters the target set (node) first at that target, by the node it
-    came from. Mass is moved step by step until less than `tolerance` is still on its way."""
-    goal = targets.select(F.col("node").alias("dst"), F.lit(True).alias("is_target"))
-    steps = stage(p.join(goal, "dst", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False))), "steps")
-    mass = stage(start.join(targets.select("node"), "node", "left_anti").select("node", "mass"), "mass")
-    found = None
-    for _ in range(most_rounds):
-        moved = stage(mass.join(steps, F.col("node") == F.col("src")).select("src", "dst", "is_target", (F.col("mass") * F.col("p")).alias("mass")).groupBy("src", "dst", "is_target").agg(F.sum("mass").alias("mass")), "moved")
-        hit = moved.where("is_target").select(F.col("dst").alias("target"), F.col("src").alias("via"), F.col("mass").alias("prob"))
-        found = hit if found is None else stage(found.unionByName(hit).groupBy("target", "via").agg(F.sum("prob").alias("prob")), "hits")
-        mass = stage(moved.where("not is_target").groupBy(F.col("dst").alias("node")).agg(F.sum("mass").alias("mass")).where("mass > 1e-15"), "mass")
-        left = mass.agg(F.sum("mass")).first()[0]
-        if left is None or left < tolerance:
-            break
-    return found.groupBy("target", "via").agg(F.sum("prob").alias("prob"))
+    came from. Only nodes with a way to a target matter. A chain of up to `held` edges is solved in one task; in a larger one mass is moved
+    step by step with joins. If `tolerance` or more is still on its way after `most_rounds` steps, a RuntimeError says how much."""
+    goal = targets.select(F.col("node").alias("dst"), F.lit(True).alias("is_target")).distinct()
+    open_steps = p.join(targets.select(F.col("node").alias("src")), "src", "left_anti").join(goal, "dst", "left")
+    steps = stage(open_steps.select("src", "dst", "p", F.coalesce("is_target", F.lit(False)).alias("is_target")), "steps")
+    mass = stage(start.join(targets.select("node"), "node", "left_anti").groupBy("node").agg(F.sum("mass").alias("mass")), "mass")
+    walk = _walk_held if steps.count() <= held else _walk_joined
+    visits, left = walk(steps, mass, tolerance, most_rounds)
+    if left >= tolerance:
+        raise RuntimeError(f"{left:.3g} of the mass is still on its way after {most_rounds} steps")
+    hits = steps.where("is_target").join(visits, F.col("src") == F.col("node"))
+    return hits.groupBy(F.col("dst").alias("target"), F.col("src").alias("via")).agg(F.sum(F.col("mass") * F.col("p")).alias("prob"))
+
+
+def _solve(src: np.ndarray, dst: np.ndarray, chance: np.ndarray, start: np.ndarray, tolerance: float, most_rounds: int) -> tuple[np.ndarray, float]:
+    """Expected visits x = start + x Q by stabilised biconjugate gradients, and what is still on its way: the absolute
+    sum of start + x Q - x, which bounds the error of all hits together."""
+    x, rounds, left = start.copy(), 0, np.inf
+    lack = lambda y: y - np.bincount(dst, y[src] * chance, len(y))
+    while True:
+        rest = start - lack(x)
+        left = float(np.abs(rest).sum())
+        if not left >= tolerance or rounds >= most_rounds:
+            return x, left if np.isfinite(left) else np.inf
+        shadow, way, dot = rest.copy(), rest.copy(), float(rest @ rest)
+        while rounds < most_rounds:
+            v = lack(way)
+            a = dot / float(shadow @ v)
+            half = rest - a * v
+            t = lack(half)
+            w = float(t @ half) / (float(t @ t) or 1.0)
+            x, rest, rounds = x + a * way + w * half, half - w * t, rounds + 2
+            before, dot = dot, float(shadow @ rest)
+            if not np.abs(rest).sum() >= tolerance / 2 or not abs(dot) > 1e-30 * abs(before) or w == 0:
+                break  # done, or to be started anew from what is left
+            way = rest + dot / before * (a / w) * (way - w * v)
+
+
+def _walk_held(steps: DataFrame, mass: DataFrame, tolerance: float, most_rounds: int) -> tuple[DataFrame, float]:
+    """Expected visits (node, mass) before a target is entered, and the mass still on its way; the edges are held by one task."""
+
+    def walk(edges: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([edges["src"], edges["dst"]]), return_inverse=True)
+        src, dst, chance, goal = at[: len(edges)], at[len(edges) :], edges["p"].to_numpy(), edges["is_target"].to_numpy(bool)
+        near = np.zeros(len(ids), bool)  # nodes with a way to a target
+        near[src[goal]] = True
+        inner, known = ~goal, 0
+        while known < (known := int(near.sum())):
+            near[src[inner & near[dst]]] = True
+        kept = inner & near[src] & near[dst]
+        src, dst, chance = src[kept], dst[kept], chance[kept]
+        place = pd.Index(ids).get_indexer(first["node"])
+        now = np.zeros(len(ids))
+        now[place[place >= 0]] = first["mass"].to_numpy()[place >= 0]
+        now[~near] = 0
+        visits, left = _solve(src, dst, chance, now, tolerance, most_rounds)
+        seen = visits > 0
+        left = pd.DataFrame({"node": ids[:1], "mass": [left] * len(ids[:1]), "is_left": True})
+        return pd.concat([pd.DataFrame({"node": ids[seen], "mass": visits[seen], "is_left": False}), left])
+
+    key = F.lit(0).alias("all")
+    found = steps.groupBy(key).cogroup(mass.groupBy(key)).applyInPandas(walk, f"node {dict(steps.dtypes)['src']}, mass double, is_left boolean")
+    found = stage(found, "visits")
+    return found.where("not is_left").select("node", "mass"), found.where("is_left").agg(F.sum("mass")).first()[0] or 0.0
+
+
+def _walk_joined(steps: DataFrame, mass: DataFrame, tolerance: float, most_rounds: int) -> tuple[DataFrame, float]:
+    """The same by joins."""
+    inner = steps.where("not is_target")
+    near = new = stage(steps.where("is_target").select(F.col("src").alias("node")).distinct(), "near")
+    while not new.isEmpty():
+        new = stage(inner.join(new, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct().join(near, "node", "left_anti"), "near")
+        near = stage(near.unionByName(new), "near")
+    inner = stage(inner.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi"), "inner")
+    state = stage(mass.join(near, "node", "left_semi").select("node", "mass", F.col("mass").alias("visits")), "visits")
+    for rounds in range(most_rounds + 1):
+        left = state.agg(F.sum("mass")).first()[0] or 0.0
+        if left < tolerance or rounds == most_rounds:
+            return state.select("node", F.col("visits").alias("mass")), left
+        moved = state.where("mass > 0").join(inner, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("moved"))
+        joined = state.join(moved, "node", "full").withColumn("moved", F.coalesce("moved", F.lit(0.0)))
+        state = stage(joined.select("node", F.col("moved").alias("mass"), (F.coalesce("visits", F.lit(0.0)) + F.col("moved")).alias("visits")), "visits")
 
 
 def k_step_flow(p: DataFrame, start: DataFrame, k: int) -> DataFrame:

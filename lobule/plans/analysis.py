@@ -455,12 +455,12 @@ def graph_pseudotime(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def first_hit_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Which category walks from category 1 reach first, and by which they come."""
+    """Which category walks from category 1 reach first, and by which they come."""
     v = vectors(spark, d)
     p = stage(G.markov(neighbour_graph(spark, d)), "markov")
     of = v.select(F.col("row_id").alias("node"), "cat")
     start = of.where("cat = 1").select("node").withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy()))
-    hits = G.first_hits(p, start, of.where("cat in (4, 5)").select("node"), tolerance=1e-3, most_rounds=12)
+    hits = G.first_hits(p, start, of.where("cat in (4, 5)").select("node"))
     named = hits.join(of.select(F.col("node").alias("target"), F.col("cat").alias("to")), "target").join(of.select(F.col("node").alias("via"), F.col("cat").alias("last")), "via")
     return named.groupBy("to", "last").agg(r(F.sum("prob"), 5).alias("prob"))
 

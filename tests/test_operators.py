@@ -133,6 +133,18 @@ def test_graph_on_a_path(spark):
     assert abs(hits.first()["prob"] - 1) < 1e-3
 
 
+@pytest.mark.parametrize("held", [graph.HELD, 0])
+def test_first_hits_solve_the_absorbing_chain(spark, held):
+    walk = [(1, 1, 0.5), (1, 2, 0.3), (1, 7, 0.2), (2, 1, 0.4), (2, 3, 0.25), (2, 4, 0.35), (3, 9, 1.0), (4, 4, 1.0), (7, 7, 1.0), (9, 1, 1.0)]  # 7: no way on
+    p = spark.createDataFrame([(a, b, float(c)) for a, b, c in walk], "src long, dst long, p double")
+    start, goals = spark.createDataFrame([(1, 0.75), (2, 0.25)], "node long, mass double"), spark.createDataFrame([(3,), (4,)], "node long")
+    got = {(r["target"], r["via"]): r["prob"] for r in graph.first_hits(p, start, goals, held=held).collect()}
+    visits = np.linalg.solve(np.eye(2) - np.array([[0.5, 0.3], [0.4, 0.0]]).T, [0.75, 0.25])
+    assert got.keys() == {(3, 2), (4, 2)} and abs(got[3, 2] - 0.25 * visits[1]) < 1e-8 and abs(got[4, 2] - 0.35 * visits[1]) < 1e-8
+    with pytest.raises(RuntimeError, match="on its way"):
+        graph.first_hits(p, start, goals, most_rounds=1, held=held)
+
+
 def test_knn_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, -1.0), (4, None), (5, 0.0)], "id long, x double")
     got = {r["src"]: [] for r in df.where("x is not null").select(F.col("id").alias("src")).collect()}
