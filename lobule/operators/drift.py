@@ -2,8 +2,8 @@
 
 Fields are read from JSON lines as variants, so no schema is declared. Each field of each file is profiled: its type, and a sketch of
 its values at the cells with the smallest hashes, the same cells in every file. Fields gone from and new in consecutive files of a series
-are the two sides of a bipartite graph; sketches propose the edges, a join over all cells confirms them, and a maximum-weight matching
-(agreeing cells, then type, then likeness of names) decides which field was renamed to which.
+are the two sides of a bipartite graph; sketches rule out edges whose common cells disagree, a join over all cells confirms the others, and
+a maximum-weight matching (agreeing cells, then type, then likeness of names) decides which field was renamed to which.
 """
 
 from __future__ import annotations
@@ -116,10 +116,15 @@ def changes(files: DataFrame, lines: DataFrame, values: DataFrame | None = None)
     new = both.where("then is null").select("file_id", F.col("field").alias("new_field"), "new_type")
     with_pair = pairs.join(gone.select("file_id").intersect(new.select("file_id")), "file_id")
     sketched = stage(sketch(values), "sketches")
-    old_side = gone.join(with_pair, "file_id").join(sketched.select(F.col("file_id").alias("before"), "field", "cell", F.col("value").alias("old")), ["before", "field"])
-    new_side = new.join(sketched.select("file_id", F.col("field").alias("new_field"), "cell", F.col("value").alias("new")), ["file_id", "new_field"])
-    likely = old_side.select("file_id", "before", "field", "old_type", "cell", "old").join(new_side, ["file_id", "cell"]).groupBy("file_id", "before", "field", "new_field", "old_type", "new_type").agg(F.min(F.col("old") == F.col("new")).alias("equal")).where("equal")
-    likely = stage(likely.drop("equal"), "likely")
+    sizes = stage(sketched.groupBy("file_id", "field").agg(F.count("*").alias("n")), "sizes")
+    old_fields = gone.join(with_pair, "file_id").join(sizes.withColumnRenamed("file_id", "before"), ["before", "field"])
+    new_fields = new.join(sizes.select("file_id", F.col("field").alias("new_field"), F.col("n").alias("m")), ["file_id", "new_field"])
+    old_side = old_fields.select("file_id", "before", "field").join(sketched.select(F.col("file_id").alias("before"), "field", "cell", F.col("value").alias("old")), ["before", "field"])
+    new_side = new_fields.select("file_id", "new_field").join(sketched.select("file_id", F.col("field").alias("new_field"), "cell", F.col("value").alias("new")), ["file_id", "new_field"])
+    met = old_side.join(new_side, ["file_id", "cell"]).groupBy("file_id", "field", "new_field").agg(F.min(F.col("old") == F.col("new")).alias("equal"), F.count("*").alias("common"))
+    possible = F.coalesce("equal", F.lit(True)) & ((F.greatest("n", "m") >= SKETCH) | (F.coalesce("common", F.lit(0)) >= LEAST_CELLS))  # sketches under SKETCH hold all cells
+    likely = old_fields.join(new_fields, "file_id").join(met, ["file_id", "field", "new_field"], "left").where(possible & (F.least("n", "m") >= LEAST_CELLS))
+    likely = stage(likely.select("file_id", "before", "field", "new_field", "old_type", "new_type"), "likely")
     some = values.where("value is not null and cell_key is not null").select("file_id", "cell_key", "field", "value").distinct()
     old_cells = likely.join(some.withColumnsRenamed({"file_id": "before", "value": "old"}), ["before", "field"]).drop("before")
     new_cells = likely.select("file_id", "field", "new_field").join(some.select("file_id", "cell_key", F.col("field").alias("new_field"), F.col("value").alias("new")), ["file_id", "new_field"])

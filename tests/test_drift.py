@@ -38,6 +38,14 @@ def test_too_few_cells_and_one_difference_are_no_rename(spark):
     assert found(spark, [(1, 1, 1, rows), (2, 1, 2, other)]) == {(2, "removed", "a", ""), (2, "added", "b", "")}
 
 
+def test_renames_of_fields_with_few_common_cells(spark):
+    first = [(c, {"a": f"v{c}", "left": c} if c < 3000 else {"left": c}) for c in range(6000)]
+    second = [(c, {"A2": f"v{c}"} if c >= 2990 else {"other": c if c % 2 else -c, "same": "x"}) for c in range(6000)]
+    thin = [(c, {"thin": f"v{c}"}) for c in (5, 1500, 2500)]
+    assert found(spark, [(1, 1, 1, first), (2, 1, 2, second)]) == {(2, "renamed", "a", "A2"), (2, "removed", "left", ""), (2, "added", "other", ""), (2, "added", "same", "")}
+    assert found(spark, [(1, 1, 1, first), (2, 1, 2, thin)]) == {(2, "renamed", "a", "thin"), (2, "removed", "left", "")}
+
+
 def test_empty_values_repeated_lines_nulls_and_bad_json(spark):
     rows = [(c, {"a": c, "e": None}) for c in range(4)] + [(0, {"a": 0, "e": None}), (9, "{bad"), (9, None)]
     other = [(c, {"b": c, "e": "-"}) for c in range(4)] + [(None, {"b": 7})]
