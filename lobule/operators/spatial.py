@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lobule.operators.ranking import permute_within
-
 
 def radius_pairs(df: DataFrame, keys: list[str], id_column: str, x: str, y: str, radius: float) -> DataFrame:
     """(keys, a, b, d) of rows of one group at most `radius` apart, both directions; a grid turns the range join into an equi-join."""
@@ -59,16 +59,116 @@ def adjacency(edges: DataFrame, labels: DataFrame, keys: list[str], category: st
     return pairs.unionByName(pairs.select(*keys, F.col("cj").alias("ci"), F.col("ci").alias("cj"))).groupBy(*keys, "ci", "cj").agg(F.count("*").alias("n"))
 
 
-def adjacency_test(edges: DataFrame, labels: DataFrame, keys: list[str], category: str, times: int = 20) -> DataFrame:
-    """(keys, ci, cj, n, mean, p): two-sided permutation test around the null mean; categories are shuffled within the keys."""
-    seen = adjacency(edges, labels, keys, category)
-    null = None
-    for run in range(times):
-        mixed = permute_within(labels, keys, category, "id", seed=run + 1).select(*keys, "id", F.col("shuffled").alias(category))
-        part = adjacency(edges, mixed, keys, category).withColumn("run", F.lit(run))
-        null = part if null is None else null.unionByName(part)
-    sums = null.groupBy(*keys, "ci", "cj").agg((F.sum("n") / times).alias("mean"), F.collect_list("n").alias("_runs"))
-    joined = seen.join(sums, [*keys, "ci", "cj"], "left").withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "_runs": F.coalesce("_runs", F.array().cast("array<bigint>"))})
-    away = F.abs(F.col("n") - F.col("mean"))
-    hits = F.size(F.filter("_runs", lambda v: F.abs(v - F.col("mean")) >= away)) + F.when(F.abs(F.col("mean")) >= away, times - F.size("_runs")).otherwise(0)
-    return joined.select(*keys, "ci", "cj", "n", "mean", ((hits + 1) / (times + 1)).alias("p"))
+def _mixed(rng: np.random.Generator, labels: np.ndarray, strata: np.ndarray, times: int) -> np.ndarray:
+    """(times, n) labels, in each row shuffled within the strata."""
+    out = np.empty((times, len(labels)), labels.dtype)
+    out[:, np.argsort(strata, kind="stable")] = labels[np.argsort(strata + rng.random((times, len(labels))), 1)]
+    return out
+
+
+def _rounds(times: int, width: int) -> list[int]:
+    """Sizes of the blocks of permutations, each of about a million values."""
+    size = max(1, 1_000_000 // max(1, width))
+    return [min(size, times - at) for at in range(0, times, size)]
+
+
+def _counts(labels: np.ndarray, i: np.ndarray, j: np.ndarray, c: int) -> np.ndarray:
+    """(times, c, c): both orders of each edge's labels."""
+    code = np.arange(len(labels))[:, None] * (c * c) + labels[:, i] * c + labels[:, j]
+    m = np.bincount(code.ravel(), minlength=len(labels) * c * c).reshape(-1, c, c)
+    return m + m.transpose(0, 2, 1)
+
+
+def _two_sided(seen: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Share of permutations, with the seen one, at least as far from the null mean."""
+    mean = null.mean(0)
+    return (1 + (np.abs(null - mean) >= np.abs(seen - mean)).sum(0)) / (len(null) + 1)
+
+
+def _group(cells: pd.DataFrame, edges: pd.DataFrame) -> tuple:
+    """Category codes, categories, bin codes and the edges' places of one group, cells in the order of their ids."""
+    cells = cells.sort_values("id")
+    kinds, labels = np.unique(cells["_cat"], return_inverse=True)
+    place = pd.Index(cells["id"])
+    i, j = place.get_indexer(edges["i"]), place.get_indexer(edges["j"])
+    return labels, kinds, np.unique(cells["_bin"], return_inverse=True)[1], i[(i >= 0) & (j >= 0)], j[(i >= 0) & (j >= 0)]
+
+
+def _adjacency_null(rng: np.random.Generator, labels: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray, c: int, times: int) -> tuple[np.ndarray, np.ndarray]:
+    null = np.concatenate([_counts(_mixed(rng, labels, bins, n), i, j, c) for n in _rounds(times, len(labels) + len(i))])
+    return _counts(labels[None], i, j, c)[0], null
+
+
+def _both(edges: DataFrame, labels: DataFrame, keys: list[str], category: str, bin_name: str):
+    known = labels.where(F.col(category).isNotNull() & F.col(bin_name).isNotNull())
+    rows = known.select(*keys, "id", F.col(category).alias("_cat"), F.col(bin_name).alias("_bin"))
+    own = {k: f"_{n}" for n, k in enumerate(keys)}  # edges may come from the same table
+    return rows.groupBy(*keys).cogroup(edges.select(*[F.col(k).alias(v) for k, v in own.items()], "i", "j").groupBy(*own.values()))
+
+
+def adjacency_test(edges: DataFrame, labels: DataFrame, keys: list[str], category: str, bin_name: str, times: int = 200, seed: int = 2468) -> DataFrame:
+    """(keys, ci, cj, n, mean, p) of all pairs of a group's categories: two-sided permutation test around the null mean; categories are
+    shuffled within the position bins of each group. A group, one image, is held by one task."""
+    kinds = dict(labels.dtypes)
+
+    def test(key: tuple, cells: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "ci", "cj", "n", "mean", "p"]
+        if not len(cells) or not len(links):
+            return pd.DataFrame(columns=names)
+        labels, found, bins, i, j = _group(cells, links)
+        seen, null = _adjacency_null(np.random.default_rng(seed), labels, bins, i, j, len(found), times)
+        mean, p = null.mean(0), _two_sided(seen, null)
+        return pd.DataFrame([(*key, found[a], found[b], seen[a, b], mean[a, b], p[a, b]) for a in range(len(found)) for b in range(len(found))], columns=names)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", ci {kinds[category]}, cj {kinds[category]}, n long, mean double, p double"
+    return _both(edges, labels, keys, category, bin_name).applyInPandas(test, schema)
+
+
+def niche_tests(edges: DataFrame, labels: DataFrame, keys: list[str], category: str, bin_name: str, adjacency_times: int = 200, moran_times: int = 200, fraction_times: int = 500, least: int = 5, alpha: float = 0.05) -> DataFrame:
+    """(keys, n, fraction_explained, fraction_p, moran, moran_p, pairs, categories) of each group of at least `least` rows.
+
+    fraction_p: share of shuffles over the whole group that explain as much; moran: mean of the categories' residual Moran's I, moran_p
+    two-sided with shuffles within bins; pairs: number of unordered pairs of categories whose adjacency has p < alpha. Without edges the
+    last are null, as is the fraction where there is one category.
+    """
+    kinds = dict(labels.dtypes)
+    names = [*keys, "n", "fraction_explained", "fraction_p", "moran", "moran_p", "pairs", "categories"]
+
+    def h(counts: np.ndarray) -> np.ndarray:
+        share = counts / np.maximum(counts.sum(-1, keepdims=True), 1)
+        return -np.where(share > 0, share * np.log2(np.where(share > 0, share, 1)), 0).sum(-1)
+
+    def test(key: tuple, cells: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if len(cells) < least:
+            return pd.DataFrame(columns=names)
+        labels, found, bins, i, j = _group(cells, links)
+        n, c, b = len(labels), len(found), int(bins.max()) + 1
+        table = lambda x: np.bincount(((np.arange(len(x))[:, None] * b + bins) * c + x).ravel(), minlength=len(x) * b * c).reshape(-1, b, c)
+        whole = h(np.bincount(labels, minlength=c))
+        fraction = fraction_p = moran = moran_p = pairs = None
+        if whole > 0:
+            explained = lambda x: 1 - (h(t := table(x)) * t.sum(2)).sum(1) / n / whole
+            rng, fraction = np.random.default_rng(2025), float(explained(labels[None])[0])
+            null = np.concatenate([explained(_mixed(rng, labels, np.zeros(n, int), k)) for k in _rounds(fraction_times, n)])
+            fraction_p = (1 + int((null >= fraction - 1e-12).sum())) / (fraction_times + 1)
+        if len(i) and n >= 3:
+            counts = table(labels[None])[0]
+            share = (counts / counts.sum(1, keepdims=True))[bins]
+            one = np.eye(c)
+            spread = ((one[labels] - share) ** 2).sum(0)  # residuals have mean 0, and shuffles within bins keep their squares
+            fit = spread > 1e-9
+            if fit.any():
+
+                def mean_moran(x: np.ndarray) -> np.ndarray:
+                    r = one[x] - share
+                    return (n / len(i) * (r[:, i] * r[:, j]).sum(1)[:, fit] / spread[fit]).mean(1)
+
+                rng, moran = np.random.default_rng(12345), float(mean_moran(labels[None])[0])
+                null = np.concatenate([mean_moran(_mixed(rng, labels, bins, k)) for k in _rounds(moran_times, c * (n + len(i)))])
+                moran_p = float(_two_sided(np.array(moran), null))
+            seen, null = _adjacency_null(np.random.default_rng(2468), labels, bins, i, j, c, adjacency_times)
+            pairs = int(np.triu(_two_sided(seen, null) < alpha).sum())
+        return pd.DataFrame([(*key, n, fraction, fraction_p, moran, moran_p, pairs, c)], columns=names)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, fraction_explained double, fraction_p double, moran double, moran_p double, pairs int, categories int"
+    return _both(edges, labels, keys, category, bin_name).applyInPandas(test, schema)

@@ -339,12 +339,24 @@ def adjacency_counts(spark: SparkSession, d: str) -> DataFrame:
     return X.adjacency(edges, p.withColumnRenamed("row_id", "id"), ["stack_id"], "cat").groupBy("ci", "cj").agg(F.sum("n").alias("n"))
 
 
+def niches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and cells (id, cat, bin) of every stack."""
+    p = stage(placed(spark, d), "placed")
+    edges = X.undirected(X.neighbours(p, ["stack_id"], "row_id", "x", "y", 6, RADIUS), ["stack_id"])
+    return edges, p.select("stack_id", F.col("row_id").alias("id"), "cat", "bin")
+
+
 @query()
 def adjacency_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """Permutation test of neighbouring categories."""
-    p = stage(placed(spark, d).withColumn("all", F.lit(1)), "placed")
-    edges = stage(X.undirected(X.neighbours(p, ["stack_id"], "row_id", "x", "y", 6, RADIUS), ["stack_id"]).select(F.lit(1).alias("all"), "i", "j"), "edges")
-    return X.adjacency_test(edges, p.select("all", F.col("row_id").alias("id"), "cat"), ["all"], "cat", 20).select("ci", "cj", "n", r("mean", 4).alias("mean"), r("p", 6).alias("p"))
+    """Permutation test of neighbouring categories in every stack, shuffled within position bins."""
+    return X.adjacency_test(*niches(spark, d), ["stack_id"], "cat", "bin", 200).select("stack_id", "ci", "cj", "n", r("mean", 4).alias("mean"), r("p", 6).alias("p"))
+
+
+@query()
+def niche_significance(spark: SparkSession, d: str) -> DataFrame:
+    """Permutation tests of residual Moran's I and the explained fraction, and the number of significant pairs, of every stack."""
+    t = X.niche_tests(*niches(spark, d), ["stack_id"], "cat", "bin", 200, 200, 500)
+    return t.select("stack_id", "n", *[r(c, 6).alias(c) for c in ("fraction_explained", "fraction_p", "moran", "moran_p")], "pairs", "categories")
 
 
 def two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

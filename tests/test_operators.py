@@ -161,6 +161,24 @@ def test_moran_sign(spark):
     assert all(r["moran"] > 0.5 for r in spatial.moran(edges, spatial.residuals(df, ["s"], "id", "cat", "bin"), ["s"]).collect())
 
 
+def test_permutations_within_bins_of_every_group(spark):
+    rng = np.random.default_rng(6)
+    # group 0: two halves of the plane, one bin; group 1: categories fixed by the bin, so shuffles within bins change nothing
+    rows = [(0, i, float(i % 8), float(i // 8), 1 if i < 32 else 2, 0) for i in range(64)] + [(1, 100 + i, float(i % 8), float(i // 8), 1 + i // 32, i // 32) for i in range(64)]
+    rows += [(2, 200 + i, float(i % 8), float(i // 8), int(rng.integers(1, 4)), int(rng.integers(0, 2))) for i in range(64)] + [(3, 300, 0.0, 0.0, 1, 0)]
+    df = spark.createDataFrame(rows, "s int, id long, x double, y double, cat int, bin int")
+    edges = spatial.undirected(spatial.neighbours(df, ["s"], "id", "x", "y", 4, 1.1), ["s"])
+    seen = {(r["s"], r["ci"], r["cj"]): r["n"] for r in spatial.adjacency(edges, df, ["s"], "cat").collect()}
+    got = {(r["s"], r["ci"], r["cj"]): r for r in spatial.adjacency_test(edges, df, ["s"], "cat", "bin").collect()}
+    assert all(got[k]["n"] == n for k, n in seen.items()) and len(got) == 4 + 4 + 9
+    assert got[0, 1, 2]["p"] == 1 / 201 and got[1, 1, 2]["p"] == 1 and got[1, 1, 2]["mean"] == got[1, 1, 2]["n"]
+    whole = {r["s"]: r for r in spatial.niche_tests(edges, df, ["s"], "cat", "bin").collect()}
+    assert whole.keys() == {0, 1, 2} and whole[0]["moran_p"] == 1 / 201 and whole[0]["pairs"] == 3 and whole[0]["fraction_explained"] == 0 and whole[0]["fraction_p"] == 1
+    assert whole[1]["fraction_explained"] == 1 and whole[1]["fraction_p"] == 1 / 501 and whole[1]["moran"] is None and whole[1]["pairs"] == 0
+    moran = [r["moran"] for r in spatial.moran(edges, spatial.residuals(df, ["s"], "id", "cat", "bin"), ["s"]).where("s = 2").collect()]
+    assert abs(np.mean(moran) - whole[2]["moran"]) < 1e-9 and whole[2]["moran_p"] > 0.02
+
+
 def test_wasserstein_of_shifted_samples(spark):
     left = spark.createDataFrame([(1, float(i)) for i in range(10)] + [(1, None)], "a int, x double")
     right = spark.createDataFrame([(7, i + 2.5) for i in range(10)], "b int, x double")
