@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,6 @@ def consensus(left: DataFrame, right: DataFrame, least: int = 10, tau: float | N
 
 def assign(w: DataFrame) -> DataFrame:
     """(a, b, w) of the assignment of least total w; unknown w count as 1.1 times the largest. For tables of categories."""
-    import numpy as np
-
     rows = w.toPandas()
     a, b = sorted(rows["a"].unique()), sorted(rows["b"].unique())
     cost = np.full((len(a), len(b)), np.nan)
@@ -71,6 +71,70 @@ def assign(w: DataFrame) -> DataFrame:
     return w.sparkSession.createDataFrame([(plain(a[i]), plain(b[j]), float(cost[i, j])) for i, j in pairs], schema)
 
 
+def _consensus_of(x: np.ndarray, counts: np.ndarray, split: int, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(W, consensus) as wasserstein() and consensus() give them, of counts (categories, positions) over the sorted positions x; the
+    first `split` rows are the categories a. Categories without a row are NaN."""
+    n = counts.sum(1)
+    w, out = np.full((2, split, len(n) - split), np.nan)
+    a, b = np.flatnonzero(n[:split]), split + np.flatnonzero(n[split:])
+    if not len(a) or not len(b):
+        return w, out
+    below = counts.cumsum(1)
+    share, step = below[:, :-1] / np.maximum(n, 1)[:, None], np.diff(x)
+    d = np.array([[np.abs(share[i] - share[j]) @ step for j in b] for i in a])
+
+    def quantile(i: int, q: float) -> float:
+        at = q * (n[i] - 1)
+        low, high = x[np.searchsorted(below[i], [np.floor(at), np.ceil(at)], side="right")]
+        return low + (high - low) * (at - np.floor(at))
+
+    mean = counts @ x / np.maximum(n, 1)
+    rank = lambda m: (m[:, None] > m).sum(1) + ((m[:, None] == m).sum(1) + 1) / 2
+    low, high = (np.array([quantile(i, q) if n[i] else np.nan for i in range(len(n))]) for q in (0.1, 0.9))
+    both = np.maximum(0, np.minimum(high[a][:, None], high[b]) - np.maximum(low[a][:, None], low[b]))
+    span = np.maximum(high[a][:, None], high[b]) - np.minimum(low[a][:, None], low[b])
+    tau = np.median(d)
+    s1 = np.where((n[a][:, None] >= least) & (n[b] >= least), np.exp(-d / tau) if tau > 0 else 1.0, 0.0)
+    supports = [s1, 1 / (1 + np.abs(rank(mean[a])[:, None] - rank(mean[b]))), np.divide(both, span, out=np.zeros_like(both), where=span > 0)]
+    scaled = lambda s: np.where((t := s.sum(1, keepdims=True)) > 0, s / np.where(t > 0, t, 1), 1 / s.shape[1])
+    w[np.ix_(a, b - split)], out[np.ix_(a, b - split)] = d, scaled(sum(scaled(s) for s in supports) / 3)
+    return w, out
+
+
+def bootstrap_alignment(left: DataFrame, right: DataFrame, times: int = 300, seed: int = 0, tasks: int = 24) -> DataFrame:
+    """(run, a, b, w, consensus, matched, tau) of Poisson resamples of (a, x) and (b, x); tau is the run's median w.
+
+    Rows are counted by category and position first, and Poisson counts drawn for the counts. A task holds all counts for its runs.
+    """
+    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
+    counted = left.where("x is not null").groupBy("a", "x").agg(F.count("*").alias("n")).withColumn("b", F.lit(None).cast(kinds["b"]))
+    counted = counted.unionByName(right.where("x is not null").groupBy("b", "x").agg(F.count("*").alias("n")).withColumn("a", F.lit(None).cast(kinds["a"])))
+    names = ["run", "a", "b", "w", "consensus", "matched", "tau"]
+
+    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["a", "b", "x"])
+        a, b = np.unique(rows["a"].dropna()), np.unique(rows["b"].dropna())
+        first = rows["a"].notna().to_numpy()
+        code = np.where(first, np.searchsorted(a, rows["a"].where(first, a[0] if len(a) else 0)), len(a) + np.searchsorted(b, rows["b"].where(~first, b[0] if len(b) else 0)))
+        x, place = np.unique(rows["x"], return_inverse=True)
+        size, out = len(a) + len(b), []
+        for run in range(key[0], times, tasks):
+            drawn = np.random.default_rng([seed, run]).poisson(rows["n"].to_numpy())
+            counts = np.bincount(code * len(x) + place, drawn, size * len(x)).reshape(size, -1)
+            w, weight = _consensus_of(x, counts, len(a))
+            fine = np.isfinite(w)
+            if not fine.any():
+                continue
+            cost = np.where(fine, w, 1.1 * w[fine].max())
+            pairs = set(matching(cost.max() + 1 - cost))
+            out += [(run, a[i], b[j], w[i, j], weight[i, j], int((i, j) in pairs), np.median(w[fine])) for i in range(len(a)) for j in range(len(b))]
+        return pd.DataFrame(out, columns=names)
+
+    schema = f"run int, a {kinds['a']}, b {kinds['b']}, w double, consensus double, matched int, tau double"
+    held = counted.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(min(tasks, times) - 1))))
+    return held.groupBy("task").applyInPandas(some, schema)
+
+
 def transfer(weights: DataFrame, means: DataFrame) -> DataFrame:
     """(a, feature, value): consensus-weighted means of the b categories' features (b, feature, mean)."""
     return weights.join(means, "b").groupBy("a", "feature").agg(F.sum(F.col("consensus") * F.col("mean")).alias("value"))

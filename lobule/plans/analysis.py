@@ -576,18 +576,17 @@ def intrinsic_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alignment_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """How often each pair of categories is matched in Poisson resamples, and its mean consensus."""
-    c = stage(cells(spark, d, []).where("cat is not null and position is not null and condition in ('CNT', 'STV')").select("row_id", "condition", "cat", "position"), "aligned")
-    drawn = stage(W.bootstrap(c, "row_id", 5).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), "resamples")
-    out = None
-    for run in range(5):
-        part = drawn.where(F.col("run") == run)
-        left, right = part.where("condition = 'CNT'").select(F.col("cat").alias("a"), F.col("position").alias("x")), part.where("condition = 'STV'").select(F.col("cat").alias("b"), F.col("position").alias("x"))
-        weights = stage(A.consensus(left, right), "consensus")
-        matched = A.assign(weights).select("a", "b", F.lit(1).alias("m"))
-        one = weights.join(matched, ["a", "b"], "left").select("a", "b", "consensus", F.coalesce("m", F.lit(0)).alias("m"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("a", "b").agg(r(F.sum("m") / 5, 4).alias("matched"), r(F.avg("consensus"), 5).alias("consensus"))
+    """How often each pair of categories is matched in 300 Poisson resamples, and its mean consensus."""
+    runs = stage(A.bootstrap_alignment(*two_sides(spark, d), 300), "resamples")
+    drawn = runs.select(F.count_distinct("run").alias("runs"))
+    each = runs.groupBy("a", "b").agg(F.sum("matched").alias("m"), F.avg(F.nanvl("consensus", F.lit(None))).alias("consensus")).crossJoin(drawn)
+    return each.select("a", "b", r(F.col("m") / F.col("runs"), 4).alias("matched"), r("consensus", 5).alias("consensus"))
+
+
+@query()
+def alignment_tau(spark: SparkSession, d: str) -> DataFrame:
+    """Tau, the median distance, of each of the 300 resamples."""
+    return A.bootstrap_alignment(*two_sides(spark, d), 300).select("run", r("tau", 7).alias("tau")).distinct()
 
 
 @query()

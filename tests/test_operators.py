@@ -185,6 +185,23 @@ def test_wasserstein_of_shifted_samples(spark):
     assert abs(alignment.wasserstein(left, right).first()["w"] - 2.5) < 1e-9
 
 
+def test_alignment_in_resamples(spark):
+    rng = np.random.default_rng(7)
+    draw = lambda: [(c, float(round(v, 2))) for c, m, k in ((1, -0.5, 60), (2, 0.1, 40), (3, 0.5, 4)) for v in rng.normal(m, 0.2, k)]
+    rows, others = draw(), draw()
+    left, right = spark.createDataFrame(rows + [(1, None)], "a int, x double"), spark.createDataFrame(others, "b int, x double")
+    x = np.unique([v for _, v in rows + others])
+    counts = np.array([[sum(1 for c, v in part if c == k and v == at) for at in x] for part in (rows, others) for k in (1, 2, 3)])
+    w, weight = alignment._consensus_of(x, counts, 3)
+    for r in alignment.consensus(left, right).collect():
+        assert abs(w[r["a"] - 1, r["b"] - 1] - r["w"]) < 1e-9 and abs(weight[r["a"] - 1, r["b"] - 1] - r["consensus"]) < 1e-9
+    got = alignment.bootstrap_alignment(left, right, 60, tasks=5).toPandas()
+    assert len(got) == 540 and got["run"].nunique() == 60 and got.groupby("run")["tau"].nunique().max() == 1 and got["tau"].nunique() > 50
+    assert (got.groupby("run")["matched"].sum() == 3).all() and got[(got["a"] == 1) & (got["b"] == 1)]["matched"].mean() > 0.9
+    again = alignment.bootstrap_alignment(left.repartition(3), right, 60, tasks=5).toPandas()
+    assert got.sort_values(["run", "a", "b"]).reset_index(drop=True).equals(again.sort_values(["run", "a", "b"]).reset_index(drop=True))
+
+
 def test_shapley_values_add_up(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 3))
