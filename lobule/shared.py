@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,11 +21,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster set it; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir as the cluster set it. Where it is unset a session on one machine (tests) gets
+    a temporary folder; on a cluster a RuntimeError asks for the setting, as no executor could read another's local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lobule-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -39,21 +42,65 @@ def stage(df: DataFrame, hint: str = "stage", files: int | None = None) -> DataF
     if files:
         df = df.coalesce(files)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def free(df: DataFrame | None) -> None:
+    """Remove the table that stage() wrote for df, if there is one; nothing may read it afterwards."""
+    path = getattr(df, "staged_at", None)
+    spark = _WRITTEN.pop(path, None)
+    if spark is None:
+        return
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 @atexit.register
 def drop_staged() -> None:
     """Remove every table that stage() wrote in this process; results that still read them must have been used before."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            pass
+
+    class Left:
+        staged_at = None
+
+    for path in list(_WRITTEN):
+        Left.staged_at = path
+        free(Left)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with its rows' places 1, 2, ... in the order, as long: a range-partitioned sort, then each partition's offset; no task sees all rows.
+
+    Equal rows of the order are placed arbitrarily, so give a full order. Only one count per partition goes to the driver.
+    """
+    sorted_rows = stage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = {r[0]: r[1] for r in sorted_rows.groupBy(part).count().collect()}
+    before, offsets = 0, {}
+    for p in sorted(sizes):
+        offsets[p] = before
+        before += sizes[p]
+    if not offsets:
+        return sorted_rows.withColumn(name, F.lit(0).cast("long")).drop("_at")
+    first = F.element_at(F.create_map(*[F.lit(x).cast("long") for p in offsets for x in (p, offsets[p])]), part)
+    return sorted_rows.withColumn(name, first + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+
+
+def join_one_row_each(big: DataFrame, small: DataFrame, keys: list[str], weight: str, hot: int = 50_000) -> DataFrame:
+    """big joined with small, which has one row per key and in `weight` the number of big's rows with that key.
+
+    Keys of at least `hot` rows, of which there can be only rows / hot, are sent to big's tasks instead of being shuffled to one.
+    """
+    rest, heavy = small.drop(weight), small.where(F.col(weight) >= hot).drop(weight)
+    if heavy.isEmpty():
+        return big.join(rest, keys)
+    light = small.where(F.col(weight) < hot).drop(weight)
+    return big.join(F.broadcast(heavy), keys).unionByName(big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
 
 
 def slots(spark: SparkSession, least: int = 1) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobule.operators.bins import plogp, right_closed
@@ -16,6 +16,6 @@ def bin_counts(stream: DataFrame, keys: list[str], position: str, category: str,
 
 def indices(counts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bin, n_cells, H, D) from a table of running counts, for instance inside foreachBatch."""
-    total = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n_cells"))
-    p = counts.join(total, [*keys, "bin"]).withColumn("p", F.col("n") / F.col("n_cells"))
+    n_cells = F.sum("n").over(Window.partitionBy(*keys, "bin"))  # a window, as a memory table can't be joined with itself
+    p = counts.withColumn("n_cells", n_cells).withColumn("p", F.col("n") / F.col("n_cells"))
     return p.groupBy(*keys, "bin").agg(F.first("n_cells").alias("n_cells"), F.sum(plogp(F.col("p"))).alias("H"), F.sum(F.col("p") * F.col("p")).alias("D"))
