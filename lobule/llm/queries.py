@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lobule.llm import clusters, digests, leakage, neighbours, packing, personal, splits
-from lobule.shared import scaled_features, stage, table, usable
+from lobule.shared import join_one_row_each, numbered, scaled_features, stage, table, usable
 
 # The profile features and positions of the cell table.
 PROFILE = ["mito_density", "mito_avg_area", "mito_aspect_ratio", "mito_percent_total_area", "mito_distance_from_edge", "peroxisome_density", "peroxisome_avg_area", "peroxisome_circularity", "peroxisome_distance_from_edge", "ld_density", "ld_avg_area", "ld_percent_total_area"]
@@ -31,30 +31,34 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(cells, "row_id", [f"v{i}" for i in range(len(names))], cells.where("row_id % 100 = 0").select("row_id"), 10)
 
 
-def p2_members(spark: SparkSession, d: str) -> DataFrame:
-    """(row_id, group_no, degree) of every cell with a usable profile; groups are numbered by falling mean position, unknown means last."""
+def _grouped(spark: SparkSession, d: str, degrees: bool) -> DataFrame:
+    """(row_id, group_no[, degree, is_candidate]); groups are numbered by falling mean position, unknown means last."""
     cells = cell_vectors(spark, d, PROFILE, ["row_id", "ascini_position"])
-    found = clusters.similarity_clusters(cells, "row_id", [f"v{i}" for i in range(len(PROFILE))], radius=2.5)
+    found = clusters.similarity_clusters(cells, "row_id", [f"v{i}" for i in range(len(PROFILE))], radius=2.5, degrees=degrees)
     position = F.col("ascini_position")
     finite = F.when(position.isNotNull() & ~F.isnan(position) & (F.abs(position) != float("inf")), position)
     members = stage(found.withColumnRenamed("id", "row_id").join(cells.select("row_id", finite.alias("position")), "row_id"), "members")
-    means = members.groupBy("cluster").agg(F.avg("position").alias("mean"))
-    numbers = means.select("cluster", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean"), "cluster")).alias("group_no"))  # one row per group
-    return members.join(numbers, "cluster").select("row_id", "group_no", "degree")
+    means = members.groupBy("cluster").agg(F.avg("position").alias("mean"), F.count("*").alias("size"))
+    numbers = numbered(means, [F.desc_nulls_last("mean"), F.asc("cluster")], "place").select("cluster", F.col("place").cast("int").alias("group_no"), "size")
+    return join_one_row_each(members, numbers, ["cluster"], "size")
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, group_no, degree, is_typical) of every cell with a usable profile: degree within the whole group, and whether it is one of
+    the group's candidates for its most typical cells."""
+    return _grouped(spark, d, True).select("row_id", "group_no", "degree", F.col("is_candidate").alias("is_typical"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every cell with a usable profile."""
-    return p2_members(spark, d).select("row_id", "group_no")
+    return _grouped(spark, d, False).select("row_id", "group_no")
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each group's size and its five most typical cells, those of highest weighted degree within their community."""
-    members = p2_members(spark, d)
-    some = members.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(64)))
+    """Each group's size and its five most typical cells, those of highest weighted degree within the whole group, ties by id."""
+    members = stage(p2_members(spark, d), "members")
     order = [F.desc("degree"), F.asc("row_id")]
-    some = some.withColumn("n", F.row_number().over(Window.partitionBy("group_no", "salt").orderBy(*order))).where("n <= 5")
-    typical = some.withColumn("n", F.row_number().over(Window.partitionBy("group_no").orderBy(*order))).where("n <= 5")
+    typical = members.where("is_typical").withColumn("n", F.row_number().over(Window.partitionBy("group_no").orderBy(*order))).where("n <= 5")
     lists = typical.groupBy("group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "row_id"))), lambda x: x["row_id"]).alias("typical_cells"))
     return members.groupBy("group_no").agg(F.count("*").alias("size")).join(lists, "group_no")
 
