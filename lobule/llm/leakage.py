@@ -2,9 +2,10 @@
 
 Texts are brought to words joined by single blanks. Every document position whose character q-gram occurs in an item is a hit on a
 diagonal (document position - item position). By the q-gram lemma a passage of length L with at most e edits shares at least
-L + 1 - q (e + 1) grams with its source, all within a narrow band of diagonals; hits are counted in windows of overlapping bands, and
-windows that meet the bound are joined to regions, which banded alignment verifies. With no edits allowed the same bound keeps every
-run of `run_words` equal words, so none is lost: with the blanks around it, such a run is longer than q.
+L + 1 - q (e + 1) grams with its source, all within a narrow band of diagonals. Windows begin at every hit, so each passage of at least
+WINDOW characters with no more than EDITS edits in any window is kept, wherever it lies; windows that meet the bound are joined to
+regions, which banded alignment verifies, as wholes or else window by window. With no edits allowed the same bound keeps every run of
+`run_words` equal words: with the blanks around it, such a run is longer than q. Only inside verified regions are words then compared.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 Q = 16  # characters of a gram, a power of two; a run of 8 words and the blanks around it has 17 at least
 BAND = 16  # width of a band of diagonals; bands overlap by half
-WINDOW = 100  # characters of a window in which hits are counted; windows overlap by half
+WINDOW = 100  # characters of a window in which hits are counted; one begins at every hit
 EDITS = 2  # edits allowed in a window
 BLOCK_CHARS = 4_000_000  # characters of items that one index holds; more items are searched in several passes over the corpus
 CHUNK = 1_000_000  # characters of documents that are hashed at a time
@@ -139,6 +140,17 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, change]) if len(keys[0]) else np.empty(0, np.int64)
 
 
+def windows(at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted hit positions: index behind the last hit of the window that begins at each hit, which windows have enough hits, and which
+    hits lie in one of these."""
+    ends = np.searchsorted(at, at + (WINDOW - Q), "right")
+    fine = ends - np.arange(len(at)) >= least
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, np.flatnonzero(fine), 1)
+    np.add.at(edge, ends[fine], -1)
+    return ends, fine, np.cumsum(edge[:-1]) > 0
+
+
 def regions(index: Index, codes: np.ndarray, starts: np.ndarray, run_words: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
     """Retained and verified regions (document from, to, item from, to) by (document, item); `starts` are the documents' first positions in codes."""
     at, gram = index.hits(codes)
@@ -147,15 +159,11 @@ def regions(index: Index, codes: np.ndarray, starts: np.ndarray, run_words: int)
     blanks = np.r_[0, np.cumsum(codes == 32)]
     doc = np.searchsorted(starts, at, "right") - 1
     # hits that can be in a retained region of any item: those in a long run of hits, or in a window with enough of them
+    least = WINDOW + 1 - Q * (EDITS + 1)
     first = np.flatnonzero(np.r_[True, np.diff(at) != 1])
     last = np.r_[first[1:], len(at)] - 1
     long = blanks[at[last] + Q] - blanks[at[first]] > run_words
-    half = WINDOW // 2
-    counts = np.bincount(at // half, minlength=len(codes) // half + 3)
-    least = WINDOW + 1 - Q * (EDITS + 1)
-    dense = counts[:-1] + counts[1:] >= least
-    dense_hit = dense[at // half] | (dense[np.maximum(at // half - 1, 0)] & (at >= half))
-    use = np.repeat(long, last - first + 1) | dense[at // half] | (dense[np.maximum(at // half - 1, 0)] & (at >= half))
+    use = np.repeat(long, last - first + 1) | windows(at, least)[2]
     at, gram, doc = at[use], gram[use], doc[use]
     if not len(at):
         return {}
@@ -167,51 +175,77 @@ def regions(index: Index, codes: np.ndarray, starts: np.ndarray, run_words: int)
     order = np.lexsort((diagonal, pair))  # stable, and positions ascend already
     p, s, pair, diagonal = p[order], s[order], pair[order], diagonal[order]
     found: dict[int, list[tuple[int, int, int, int]]] = {}
-    # no edits: runs of hits on one diagonal that hold run_words whole words
+    # no edits: runs of hits on one diagonal that hold run_words whole words; the alignment is the comparison of both sides
     first = starts_of(pair, diagonal, p - np.arange(len(p)))
     last = np.r_[first[1:], len(p)] - 1
     for a, b in zip(first[(some := blanks[p[last] + Q] - blanks[p[first]] > run_words)].tolist(), last[some].tolist()):
-        found.setdefault(int(pair[a]), []).append((int(p[a]), int(p[b]) + Q, int(s[a]), int(s[b]) + Q))
+        x, y, u, v = int(p[a]), int(p[b]) + Q, int(s[a]), int(s[b]) + Q
+        if (codes[x:y] == index.codes[pair[a] % len(index.ids)][u:v]).all():
+            found.setdefault(int(pair[a]), []).append((x, y, u, v))
     # some edits: windows of overlapping bands
-    open_regions: dict[int, list[tuple[int, int, int, int]]] = {}
     first = starts_of(pair)
     size = np.diff(np.r_[first, len(pair)])
     many = np.repeat(size >= least, size)  # pairs with fewer hits have no window with enough
     p, s, pair, diagonal = p[many], s[many], pair[many], diagonal[many]
+    retained: dict[int, dict[tuple[int, int, int, int], list[tuple[int, int, int, int]]]] = {}
     for shift in (0, BAND // 2):
         band = (diagonal + shift + (1 << 40)) // BAND
-        for slide in (0, half):
-            window = (p + slide) // WINDOW
-            order = np.lexsort((window, band, pair))
-            first = starts_of(pair[order], band[order], window[order])
-            stop = np.r_[first[1:], len(order)]
-            some = stop - first >= least
-            held: list[int] | None = None
-            for a, b in [*zip(first[some].tolist(), stop[some].tolist()), (-1, -1)]:
-                if held and a >= 0:
-                    x, y = order[a], order[held[1] - 1]
-                    if pair[x] == pair[y] and band[x] == band[y] and window[x] == window[y] + 1:
-                        held[1] = b
-                        continue
-                if held:
-                    inside = order[held[0] : held[1]]
-                    open_regions.setdefault(int(pair[inside[0]]), []).append((int(p[inside].min()), int(p[inside].max()) + Q, int(s[inside].min()), int(s[inside].max()) + Q))
-                held = [a, b]
+        order = np.lexsort((p, band, pair))
+        x, y, g = p[order], s[order], np.zeros(len(order), np.int64)
+        g[starts_of(pair[order], band[order])] = 1
+        g = np.cumsum(g)
+        ends, fine, inside = windows(g * (len(codes) + 2 * WINDOW) + x, least)
+        for a, b in runs_of_true(inside, g):
+            extent = lambda i, j: (int(x[i:j].min()), int(x[i:j].max()) + Q, int(y[i:j].min()), int(y[i:j].max()) + Q)
+            parts, i = [], a
+            while i < b:
+                if fine[i]:
+                    parts.append(extent(i, ends[i]))
+                i = max(i + 1, int(ends[i])) if fine[i] else i + 1
+            retained.setdefault(int(pair[order[a]]), {})[extent(a, b)] = parts
     tried = []
-    for key, spans in open_regions.items():
+    for key, spans in retained.items():
         known = list(found.get(key, []))
-        for span in sorted(set(spans), key=lambda r: r[0] - r[1]):  # the longest first; what lies inside another adds nothing
+        for span in sorted(spans, key=lambda r: r[0] - r[1]):  # the longest first; what lies inside another adds nothing
             if not any(x <= span[0] and y >= span[1] and u <= span[2] and v >= span[3] for x, y, u, v in known):
                 known.append(span)
-                tried.append((key, span))
-    if tried:
-        edits = banded_distances([index.codes[key % len(index.ids)][u:v] for key, (_, _, u, v) in tried], [codes[x:y] for _, (x, y, _, _) in tried], BAND)
-        for (key, span), e in zip(tried, edits.tolist()):
+                tried.append((key, span, spans[span]))
+    while tried:
+        edits = banded_distances([index.codes[key % len(index.ids)][u:v] for key, (_, _, u, v), _ in tried], [codes[x:y] for _, (x, y, _, _), _ in tried], BAND)
+        smaller = []
+        for (key, span, parts), e in zip(tried, edits.tolist()):
             if e <= EDITS * -(-(span[1] - span[0]) // WINDOW):
                 found.setdefault(key, []).append(span)
+            else:  # the region holds more edits than its length allows: its windows are verified singly
+                smaller += [(key, part, []) for part in parts if part != span]
+        tried = smaller
     return {(key // len(index.ids), key % len(index.ids)): spans for key, spans in found.items()}
 
 
+def runs_of_true(mask: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """From and to of each run of true values within one group."""
+    at = np.flatnonzero(mask)
+    if not len(at):
+        return []
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(group[at]) != 0))
+    return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + 1).tolist()))
+
+
+def words_in_runs(index: Index, item: int, own: list[str], begins: np.ndarray, spans: list[tuple[int, int]], run_words: int) -> float:
+    """Share of the item's words that lie in runs of run_words equal words of the document's spans (from, to, in its characters).
+
+    own: the document's words, begins: where each begins.
+    """
+    pieces = set()
+    for x, y in spans:
+        a, b = np.searchsorted(begins, x, "left"), np.searchsorted(begins, y, "left")
+        if b > a and begins[b - 1] + len(own[b - 1]) > y:
+            b -= 1
+        for j in range(a, b - run_words + 1):
+            pieces.update(place for i, place in index.runs.get(tuple(own[j : j + run_words]), ()) if i == item)
+    return share([(j, j + run_words) for j in pieces], len(index.words[item]))
+
+
 def share(pieces: list[tuple[int, int]], n: int) -> float:
     """Share of n positions that the pieces cover."""
     covered = np.zeros(n, bool)
@@ -223,10 +257,11 @@ def share(pieces: list[tuple[int, int]], n: int) -> float:
 def leaks(documents: DataFrame, id_column: str, text_column: str, items: DataFrame, item_column: str = "item_id", item_text: str = "text", run_words: int = 8) -> DataFrame:
     """(doc_id, item_id, word_share, char_share) for every document and item with a verified region.
 
-    word_share: share of the item's words in runs of at least `run_words` consecutive words that the document has too, anywhere and in
-    any order, exactly counted; an item of fewer words has none. char_share: share of the item's characters in verified regions, which
-    may hold a few edits. Null and empty texts leak nothing. A repeated document id is judged as one text per row, one row per text and
-    item. Item ids are unique; items are searched in blocks of bounded size, each in one pass over the documents, which are not shuffled.
+    char_share: share of the item's characters in verified regions, which may hold a few edits. word_share: share of the item's words in
+    runs of at least `run_words` consecutive words that a verified region of the document has too, anywhere and in any order, exactly
+    counted (every such run lies in a verified region); an item of fewer words has none. Null and empty texts leak nothing. A repeated
+    document id is judged as one text per row, one row per text and item. Item ids are unique; items are searched in blocks of bounded
+    size, each in one pass over the documents, which are not shuffled.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
@@ -263,16 +298,11 @@ def leaks(documents: DataFrame, id_column: str, text_column: str, items: DataFra
                     starts = np.cumsum([0, *map(len, pieces)])[:-1]
                     codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
                     found = regions(index, codes, starts, run_words)
-                    rows, runs_of = [], {}
+                    rows = []
                     for (d, i), spans in sorted(found.items()):
-                        if d not in runs_of:
-                            hit: dict[int, list[tuple[int, int]]] = {}
-                            w = lists[d]
-                            for j in range(len(w) - run_words + 1):
-                                for item, place in index.runs.get(tuple(w[j : j + run_words]), ()):
-                                    hit.setdefault(item, []).append((place, place + run_words))
-                            runs_of[d] = hit
-                        rows.append((ids[begin + d], int(index.ids[i]), share(runs_of[d].get(i, []), len(index.words[i])), share([(u, v) for _, _, u, v in spans], len(index.codes[i]))))
+                        begins = 1 + np.cumsum([0, *(len(w) + 1 for w in lists[d])])[:-1]
+                        inside = [(x - starts[d], y - starts[d]) for x, y, _, _ in spans]
+                        rows.append((ids[begin + d], int(index.ids[i]), words_in_runs(index, i, lists[d], begins, inside, run_words), share([(u, v) for _, _, u, v in spans], len(index.codes[i]))))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["doc_id", "item_id", "word_share", "char_share"])
 

@@ -65,6 +65,32 @@ def test_no_word_run_is_lost(spark, seed):
     assert shares.keys() == want.keys() and all(abs(shares[k] - want[k]) < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("low,high,edits", [(100, 118, 2), (119, 199, 2), (200, 400, 4)])
+def test_altered_passages_are_kept(low, high, edits):
+    """Passages of at least WINDOW characters with no more than two edits in any window, at any place of any document, are all found."""
+    rng = random.Random(low)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    items = [(i, " ".join(word() for _ in range(120))) for i in range(30)]
+    index = leakage.Index(items, 8)
+    pieces, want = [], set()
+    for d in range(300):
+        i = rng.randrange(30)
+        n = rng.randrange(low, high + 1)
+        at = rng.randrange(len(items[i][1]) - n)
+        part = list(items[i][1][at : at + n])
+        step = max(n // edits, 1)
+        for e in range(edits):  # spread, so that no window holds more than two
+            x = min(n - 1, e * step + rng.randrange(step)) if edits == 2 else e * step + step // 2
+            part[x] = rng.choice(["", "", part[x] + "q", "z" if part[x] != "z" else "y"])
+        pieces.append(" " + " ".join(word() for _ in range(rng.randrange(40))) + "".join(part) + " ".join(word() for _ in range(20)) + " \0")
+        want.add((d, i))
+    starts = np.cumsum([0, *map(len, pieces)])[:-1]
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+    found = leakage.regions(index, codes, starts, 8)
+    assert len(want & found.keys()) >= 0.99 * len(want)
+
+
 def test_altered_passage_is_aligned(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil magic potions near a frozen lake at dawn and nobody in the village hears the faint music drifting through the cold pines"
     altered = item.replace("wizards", "wizard").replace("village", "vilage")
