@@ -116,10 +116,12 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.coalesce(finite(col(c).cast("double")).isNotNull(), F.lit(False)) for c in columns], F.lit(True)))
 
 
-def feature_report(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """(feature, status) of each wanted feature: present or missing."""
+def feature_report(df: DataFrame, wanted: list[str], extras: bool = False) -> DataFrame:
+    """(feature, status): each wanted feature is present or missing; with `extras` other columns are listed too."""
     have = set(df.columns)
-    return df.sparkSession.createDataFrame([(w, "present" if w in have else "missing") for w in wanted], "feature string, status string")
+    rows = [(w, "present" if w in have else "missing") for w in wanted]
+    rows += [(c, "extra") for c in df.columns if extras and c not in set(wanted)]
+    return df.sparkSession.createDataFrame(rows, "feature string, status string")
 
 
 def any_at_least(columns: list[str], threshold: float) -> Column:

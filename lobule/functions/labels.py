@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,9 @@ def route_name(route: Column) -> Column:
 def title(name: Column) -> Column:
     """`mito_avg_area` as `Mito Avg Area`."""
     return F.initcap(F.regexp_replace(name, "_", " "))
+
+
+def ordered_labels(df: DataFrame, column: str, name: str, prefix: str = "H") -> DataFrame:
+    """df with a label H1, H2, ... for the category's place in ascending order; null categories get none. Only categories are sorted."""
+    places = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_n", F.row_number().over(Window.orderBy(column)))
+    return df.join(places, column, "left").withColumn(name, F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")

@@ -158,3 +158,85 @@ def mean_over_set(df: DataFrame, keys: list[str], sets: dict[str, list[str]]) ->
 def rank_agreement(pairs: int) -> float:
     """Standard error of a rank correlation over so many pairs."""
     return math.nan if pairs < 2 else 1 / math.sqrt(pairs - 1)
+
+
+def unit_wasserstein(left: DataFrame, right: DataFrame, most: int = 500, seed: int = 1) -> DataFrame:
+    """(a, b, support, w): mean distance between the distributions of category a in one unit of left and category b in one of right, over
+    all pairs of units that have them, or over `most` pairs drawn with replacement where there are more; support: the number of pairs.
+
+    left (a, unit, x), right (b, unit, x). Draws come from hashed numbers, so they don't depend on partitioning. Only drawn pairs meet.
+    """
+    from lobule.operators.ranking import scatter
+
+    def units(df: DataFrame, c: str) -> DataFrame:
+        by = Window.partitionBy(c)
+        return df.select(c, "unit").distinct().select(c, F.col("unit").alias(f"u{c}"), (F.row_number().over(by.orderBy("unit")) - 1).alias(f"i{c}"), F.count("*").over(by).alias(f"n{c}"))
+
+    known = lambda df, c: df.where(F.col(c).isNotNull() & F.col("unit").isNotNull() & F.col("x").isNotNull())
+    left, right = known(left, "a"), known(right, "b")
+    ua, ub = units(left, "a"), units(right, "b")
+    sizes = ua.select("a", "na").distinct().join(ub.select("b", "nb").distinct(), how="inner", on=F.lit(True))  # pairs of categories
+    drawn = sizes.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("na") * F.col("nb"), F.lit(most)) - 1)))
+    every = F.col("na") * F.col("nb") <= most
+    pick = lambda s, n: (scatter(F.col("t"), s) / 64).cast("long") % n
+    drawn = drawn.withColumns({"ia": F.when(every, F.floor(F.col("t") / F.col("nb"))).otherwise(pick(seed, F.col("na"))), "ib": F.when(every, F.col("t") % F.col("nb")).otherwise(pick(seed + 1, F.col("nb")))})
+    pairs = drawn.join(ua.drop("na"), ["a", "ia"]).join(ub.drop("nb"), ["b", "ib"]).select("a", "b", "t", "ua", "ub")
+    share = lambda df, c, sign: df.groupBy(c, F.col("unit").alias(f"u{c}"), "x").agg(F.count("*").alias("n")).withColumn("n", sign * F.col("n") / F.sum("n").over(Window.partitionBy(c, f"u{c}")))
+    both = pairs.join(share(left, "a", 1), ["a", "ua"]).select("a", "b", "t", "x", "n").unionByName(pairs.join(share(right, "b", -1), ["b", "ub"]).select("a", "b", "t", "x", "n"))
+    steps = both.groupBy("a", "b", "t", "x").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("a", "b", "t").orderBy("x")
+    gap = F.abs(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    each = steps.withColumns({"g": gap, "next": F.lead("x").over(by)}).groupBy("a", "b", "t").agg(F.coalesce(F.sum(F.col("g") * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("w"))
+    return each.groupBy("a", "b").agg(F.count("*").alias("support"), F.avg("w").alias("w"))
+
+
+def reconstruction_error(left: DataFrame, right: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, w): distance of category a's distribution from the mixture of the b categories by their weights (a, b, consensus), exactly, by
+    weighted cumulative curves. Categories without rows on either side are left out."""
+    share = lambda df, c: df.where("x is not null").groupBy(c, "x").agg(F.count("*").alias("n")).withColumn("n", F.col("n") / F.sum("n").over(Window.partitionBy(c)))
+    whole = F.sum("consensus").over(Window.partitionBy("a"))
+    mix = weights.withColumn("weight", F.try_divide("consensus", whole)).join(share(right, "b"), "b").groupBy("a", "x").agg((-F.sum(F.col("weight") * F.col("n"))).alias("n"))
+    steps = share(left, "a").unionByName(mix).groupBy("a", "x").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("a").orderBy("x")
+    gap = F.abs(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return steps.withColumns({"g": gap, "next": F.lead("x").over(by)}).groupBy("a").agg(F.coalesce(F.sum(F.col("g") * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("w")).join(weights.select("a").distinct(), "a", "left_semi")
+
+
+def tau_sensitivity(left: DataFrame, right: DataFrame, times: tuple) -> DataFrame:
+    """(a, times, corr): correlation over b of the consensus with that at `times` tau, both without the mask of small categories; null where
+    one of them doesn't vary."""
+    base = consensus(left, right, 0)
+    tau = base.agg(F.percentile("w", 0.5)).first()[0] or 1.0
+    out = None
+    for t in times:
+        other = consensus(left, right, 0, tau * t).select("a", "b", F.col("consensus").alias("other"))
+        part = base.join(other, ["a", "b"]).groupBy("a").agg(F.when((F.stddev_pop("consensus") > 1e-15) & (F.stddev_pop("other") > 1e-15), F.corr("consensus", "other")).alias("corr")).withColumn("times", F.lit(float(t)))
+        out = part if out is None else out.unionByName(part)
+    return out.select("a", "times", "corr")
+
+
+def transfer_intervals(weights: DataFrame, rows: DataFrame, key: str, names: list[str], times: int = 500, buckets: int = 512, seed: int = 0) -> DataFrame:
+    """(a, feature, value, low, high): consensus-weighted feature means and their 95 % bootstrap limits.
+
+    rows (key, b, names): one pass brings every category down to sums over `buckets` hashed groups of rows; a resample draws Poisson copies
+    of these groups, so limits are those of a bootstrap by groups, exact where a category has no more rows than buckets, and nothing but
+    categories x buckets sums is resampled. Unknown values take no part.
+    """
+    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)).cast("int")
+    sums = rows.groupBy("b", bucket.alias("bucket")).agg(*[x for i, c in enumerate(names) for x in (F.sum(F.col(f"`{c}`")).alias(f"s{i}"), F.count(F.col(f"`{c}`")).alias(f"n{i}"))]).toPandas().sort_values(["b", "bucket"])
+    w = weights.select("a", "b", "consensus").toPandas()
+    cats = sorted(set(sums["b"]) & set(w["b"]))
+    matrix = w[w["b"].isin(cats)].pivot_table(index="a", columns="b", values="consensus", fill_value=0.0)
+    rng = np.random.default_rng(seed)
+    boot, value = np.zeros((times, len(matrix), len(names))), np.zeros((len(matrix), len(names)))
+    for b in matrix.columns:
+        mine = sums[sums["b"] == b]
+        s, n = mine[[f"s{i}" for i in range(len(names))]].fillna(0.0).to_numpy(float), mine[[f"n{i}" for i in range(len(names))]].to_numpy(float)
+        copies = rng.poisson(1.0, size=(times, len(mine)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            boot += matrix[b].to_numpy()[None, :, None] * ((copies @ s) / (copies @ n))[:, None, :]
+            value += np.outer(matrix[b].to_numpy(), s.sum(0) / n.sum(0))
+    low, high = np.nanpercentile(boot, 2.5, axis=0), np.nanpercentile(boot, 97.5, axis=0)
+    plain = lambda v: v.item() if hasattr(v, "item") else v
+    out = [(plain(a), f, float(value[i, j]), float(low[i, j]), float(high[i, j])) for i, a in enumerate(matrix.index) for j, f in enumerate(names)]
+    return weights.sparkSession.createDataFrame(out, f"a {dict(weights.dtypes)['a']}, feature string, value double, low double, high double")

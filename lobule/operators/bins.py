@@ -67,10 +67,10 @@ def diversity(df: DataFrame, keys: list[str], category: str, possible: int | Non
     return out.withColumn("E", F.try_divide("H", "span")).drop("span")
 
 
-def diversity_curve(df: DataFrame, keys: list[str], position: Column, category: str, low: float, high: float, n: int, possible: int) -> DataFrame:
+def diversity_curve(df: DataFrame, keys: list[str], position: Column, category: str, low: float, high: float, n: int, possible: int, base: str = "log2") -> DataFrame:
     """diversity() of every bin of the axis, empty bins with n_cells 0 and null indices; adds the bin's edges and middle."""
     binned = df.withColumn("bin", right_closed(position, low, high, n)).where("bin is not null")
-    found = diversity(binned, [*keys, "bin"], category, possible)
+    found = diversity(binned, [*keys, "bin"], category, possible, base)
     width = (high - low) / n
     grid = df.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     wide = grid.join(found, [*keys, "bin"], "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)))
@@ -92,3 +92,18 @@ def pooled_curve(df: DataFrame, replicate: str, keys: list[str], value: str) ->
     """(keys, mean, sem, n): mean over replicates' means and its standard error with ddof 0, replicates without values left out."""
     each = df.groupBy(*keys, replicate).agg(F.avg(value).alias("m")).where("m is not null")
     return each.groupBy(*keys).agg(F.avg("m").alias("mean"), (F.stddev_pop("m") / F.sqrt(F.count("m"))).alias("sem"), F.count("m").alias("n"))
+
+
+def data_range_bins(df: DataFrame, value: str, n: int) -> DataFrame:
+    """Adds `bin` 1..n of equal width over the value's own range, right-closed, the smallest value in the first; one value alone is bin 1."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return df.withColumn("bin", F.lit(None).cast("int"))
+    if low == high:
+        return df.withColumn("bin", F.when(F.col(value).isNotNull(), 1))
+    return df.withColumn("bin", right_closed(F.col(value), low, high, n) + 1)
+
+
+def zero_filled(curve: DataFrame) -> DataFrame:
+    """The indices of empty bins as zeros, where 0 stands for no diversity."""
+    return curve.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("H", "D", "E")})

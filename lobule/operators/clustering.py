@@ -315,3 +315,42 @@ def median_normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     with_median = df.withColumn("_median", middle)
     grand = with_median.agg(F.percentile("_median", 0.5)).first()[0] or 1.0
     return with_median.withColumns({c: F.when(col(c) > 0, F.log2(col(c) / F.col("_median") * float(grand))) for c in columns}).drop("_median")
+
+
+def mirrored(column: str) -> Column:
+    """The coordinate with its sign turned."""
+    return -col(column)
+
+
+def half_turn(first: str, second: str) -> tuple[Column, Column]:
+    """Both coordinates after a turn by 180 degrees."""
+    return -col(first), -col(second)
+
+
+def _profile(df: DataFrame, columns: list[str], extra: dict) -> DataFrame:
+    """(feature, ...) with one row per column, of aggregates {name: function of a Column}; one pass."""
+    row = df.agg(*[f(col(c)).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in extra.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{i}").alias(n) for n in extra]) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+
+
+def stable_features(df: DataFrame, columns: list[str], size: int, ladder: tuple = (1.0, 0.995, 0.99, 0.98, 0.97, 0.95, 0.9)) -> DataFrame:
+    """(feature, place): the `size` features of least deviation over median, among those positive in the largest share of rows on the ladder
+    that enough features reach (or in the last). Unknown and negative values count as 0; ties by name."""
+    fixed = df.select(*[F.greatest(F.coalesce(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
+    spread = {"positive": lambda x: F.count_if(x > 0), "median": lambda x: F.percentile(x, 0.5), "n": lambda x: F.count(x)}
+    each = _profile(fixed, columns, spread).join(_profile(df.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]), columns, {"sd": F.stddev_samp}), "feature")
+    rows = each.withColumn("cv", F.try_divide("sd", "median")).collect()  # one row per feature
+    n = rows[0]["n"] if rows else 0
+    share = next((s for s in ladder if sum(x["positive"] >= s * n for x in rows) >= size), ladder[-1])
+    fine = sorted((x["cv"] if x["cv"] is not None else math.inf, x["feature"]) for x in rows if x["positive"] >= share * n)[:size]
+    return df.sparkSession.createDataFrame([(f, i) for i, (_, f) in enumerate(fine, 1)], "feature string, place int")
+
+
+def variable_features(df: DataFrame, columns: list[str], k: int, total: float = 1e4) -> DataFrame:
+    """(feature, log_dispersion, place): the k features of largest variance over mean, once rows are scaled to a common total."""
+    fixed = df.select(*[F.greatest(F.coalesce(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
+    whole = sum((col(c) for c in columns[1:]), col(columns[0]))
+    scaled = fixed.select(*[F.coalesce(F.try_divide(col(c) * total, whole), F.lit(0.0)).alias(c) for c in columns])
+    each = _profile(scaled, columns, {"mean": F.avg, "variance": F.var_samp}).withColumn("dispersion", F.try_divide("variance", "mean"))
+    ranked = each.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("dispersion"), "feature"))).where(F.col("place") <= k)  # one row per feature
+    return ranked.select("feature", F.ln("dispersion").alias("log_dispersion"), "place")

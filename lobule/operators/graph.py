@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobule.functions.cleaning import col
-from lobule.shared import stage
+from lobule.shared import free, stage
 
 BLOCK = 4096
 HELD = 5_000_000  # edges of a chain that one task holds
+DENSE = 6_000  # nodes up to which a chain is solved directly
+LEAST_STEP = 1e-9  # steps less likely than this are not followed: what they carry is beyond the precision of the sums
 
 
 def knn(df: DataFrame, key: str, columns: list[str], k: int, metric: str = "euclidean") -> DataFrame:
@@ -81,18 +83,20 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components still change")
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(node, dist) from the nearest root (node), edge length 1 / (w + 1e-12); only nodes whose distance fell send it on."""
     lengths = stage(edges.select("src", "dst", (1 / (F.col("w") + 1e-12)).alias("len")), "lengths")
-    dist = stage(roots.select("node", F.lit(0.0).alias("dist"), F.lit(True).alias("open")), "dist")
+    dist, before = stage(roots.select("node", F.lit(0.0).alias("dist"), F.lit(True).alias("open")), "dist"), None
     for _ in range(most_rounds):
         sent = dist.where("open").join(lengths, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("len")).alias("dist"))
         best = sent.groupBy("node").agg(F.min("dist").alias("new"))
         joined = dist.drop("open").join(best, "node", "full")
-        dist = stage(joined.select("node", F.least(F.coalesce("dist", "new"), F.coalesce("new", "dist")).alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.col("dist").isNull()).alias("open")), "dist")
+        last, dist = dist, stage(joined.select("node", F.least(F.coalesce("dist", "new"), F.coalesce("new", "dist")).alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.col("dist").isNull()).alias("open")), "dist")
         if dist.where("open").isEmpty():
-            break
-    return dist.select("node", "dist")
+            return dist.select("node", "dist")
+        free(before)
+        before = last
+    raise RuntimeError(f"distances still fall after {most_rounds} rounds")
 
 
 def pseudotime(nodes: DataFrame, dist: DataFrame, roots: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def markov(edges: DataFrame, time: DataFrame | None = None, slack: float = 1e-3)
     return p.unionByName(dead)
 
 
-def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(node, steps): nodes that can be reached from the start nodes, with the least number of edges."""
     seen = stage(start.select("node").distinct().withColumn("steps", F.lit(0)), "reached")
     for step in range(1, most_rounds + 1):
@@ -126,17 +130,18 @@ def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 200) -> Dat
         new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         new = stage(new.withColumn("steps", F.lit(step)), "reached")
         if new.isEmpty():
-            break
+            return seen
         seen = stage(seen.unionByName(new), "reached")
-    return seen
+    raise RuntimeError(f"new nodes are still reached after {most_rounds} rounds")
 
 
 def first_hits(p: DataFrame, start: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_rounds: int = 20_000, held: int = HELD) -> DataFrame:
     """(target, via, prob): chance that a walk from `start` (node, mass) enters the target set (node) first at that target, by the node it
-    came from. Only nodes with a way to a target matter. A chain of up to `held` edges is solved in one task; in a larger one mass is moved
+    came from. Steps of a chance below LEAST_STEP are not followed; nodes without a way to a target are sinks, and walks that enter them hit
+    nothing. A chain of up to `held` edges is solved in one task; in a larger one mass is moved
     step by step with joins. If `tolerance` or more is still on its way after `most_rounds` steps, a RuntimeError says how much."""
     goal = targets.select(F.col("node").alias("dst"), F.lit(True).alias("is_target")).distinct()
-    open_steps = p.join(targets.select(F.col("node").alias("src")), "src", "left_anti").join(goal, "dst", "left")
+    open_steps = p.where(F.col("p") >= LEAST_STEP).join(targets.select(F.col("node").alias("src")), "src", "left_anti").join(goal, "dst", "left")
     steps = stage(open_steps.select("src", "dst", "p", F.coalesce("is_target", F.lit(False)).alias("is_target")), "steps")
     mass = stage(start.join(targets.select("node"), "node", "left_anti").groupBy("node").agg(F.sum("mass").alias("mass")), "mass")
     walk = _walk_held if steps.count() <= held else _walk_joined
@@ -148,8 +153,16 @@ def first_hits(p: DataFrame, start: DataFrame, targets: DataFrame, tolerance: fl
 
 
 def _solve(src: np.ndarray, dst: np.ndarray, chance: np.ndarray, start: np.ndarray, tolerance: float, most_rounds: int) -> tuple[np.ndarray, float]:
-    """Expected visits x = start + x Q by stabilised biconjugate gradients, and what is still on its way: the absolute
+    """Expected visits x = start + x Q, directly for small chains, else by stabilised biconjugate gradients, and what is still on its way: the absolute
     sum of start + x Q - x, which bounds the error of all hits together."""
+    if len(start) <= DENSE:
+        matrix = np.eye(len(start))
+        np.subtract.at(matrix, (dst, src), chance)
+        x = np.linalg.solve(matrix, start)
+        for _ in range(3):  # refinement
+            rest = start - x + np.bincount(dst, x[src] * chance, len(x))
+            x = x + np.linalg.solve(matrix, rest)
+        return x, float(np.abs(start - x + np.bincount(dst, x[src] * chance, len(x))).sum())
     x, rounds, left = start.copy(), 0, np.inf
     lack = lambda y: y - np.bincount(dst, y[src] * chance, len(y))
     while True:
@@ -171,27 +184,33 @@ def _solve(src: np.ndarray, dst: np.ndarray, chance: np.ndarray, start: np.ndarr
             way = rest + dot / before * (a / w) * (way - w * v)
 
 
+def _visits(edges: pd.DataFrame, first: pd.DataFrame, tolerance: float, most_rounds: int) -> pd.DataFrame:
+    """(node, mass, is_left): expected visits before a target is entered, and in one row the mass still on its way."""
+    ids, at = np.unique(np.concatenate([edges["src"], edges["dst"]]), return_inverse=True)
+    src, dst, chance, goal = at[: len(edges)], at[len(edges) :], edges["p"].to_numpy(), edges["is_target"].to_numpy(bool)
+    near = np.zeros(len(ids), bool)  # nodes with a way to a target
+    near[src[goal]] = True
+    inner, known = ~goal, 0
+    while known < (known := int(near.sum())):
+        near[src[inner & near[dst]]] = True
+    kept = inner & near[src] & near[dst]
+    place = np.cumsum(near) - 1
+    src, dst, chance = place[src[kept]], place[dst[kept]], chance[kept]
+    ids = ids[near]
+    place = pd.Index(ids).get_indexer(first["node"])
+    now = np.zeros(len(ids))
+    now[place[place >= 0]] = first["mass"].to_numpy()[place >= 0]
+    visits, left = _solve(src, dst, chance, now, tolerance, most_rounds)
+    seen = visits > 0
+    left = pd.DataFrame({"node": ids[:1], "mass": [left] * len(ids[:1]), "is_left": True})
+    return pd.concat([pd.DataFrame({"node": ids[seen], "mass": visits[seen], "is_left": False}), left])
+
+
 def _walk_held(steps: DataFrame, mass: DataFrame, tolerance: float, most_rounds: int) -> tuple[DataFrame, float]:
     """Expected visits (node, mass) before a target is entered, and the mass still on its way; the edges are held by one task."""
 
     def walk(edges: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([edges["src"], edges["dst"]]), return_inverse=True)
-        src, dst, chance, goal = at[: len(edges)], at[len(edges) :], edges["p"].to_numpy(), edges["is_target"].to_numpy(bool)
-        near = np.zeros(len(ids), bool)  # nodes with a way to a target
-        near[src[goal]] = True
-        inner, known = ~goal, 0
-        while known < (known := int(near.sum())):
-            near[src[inner & near[dst]]] = True
-        kept = inner & near[src] & near[dst]
-        src, dst, chance = src[kept], dst[kept], chance[kept]
-        place = pd.Index(ids).get_indexer(first["node"])
-        now = np.zeros(len(ids))
-        now[place[place >= 0]] = first["mass"].to_numpy()[place >= 0]
-        now[~near] = 0
-        visits, left = _solve(src, dst, chance, now, tolerance, most_rounds)
-        seen = visits > 0
-        left = pd.DataFrame({"node": ids[:1], "mass": [left] * len(ids[:1]), "is_left": True})
-        return pd.concat([pd.DataFrame({"node": ids[seen], "mass": visits[seen], "is_left": False}), left])
+        return _visits(edges, first, tolerance, most_rounds)
 
     key = F.lit(0).alias("all")
     found = steps.groupBy(key).cogroup(mass.groupBy(key)).applyInPandas(walk, f"node {dict(steps.dtypes)['src']}, mass double, is_left boolean")
@@ -217,6 +236,53 @@ def _walk_joined(steps: DataFrame, mass: DataFrame, tolerance: float, most_round
         state = stage(joined.select("node", F.col("moved").alias("mass"), (F.coalesce("visits", F.lit(0.0)) + F.col("moved")).alias("visits")), "visits")
 
 
+def first_hits_of(p: DataFrame, starts: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_rounds: int = 20_000, held: int = HELD) -> DataFrame:
+    """(start, target, via, prob): first_hits() of several starts (start, node, mass) into one target set. A chain of up to `held` edges is
+    solved for all starts in one task; in a larger one the starts, of which there are few, follow each other."""
+    names = [x[0] for x in starts.select("start").distinct().orderBy("start").collect()]
+    goal = targets.select(F.col("node").alias("dst"), F.lit(True).alias("is_target")).distinct()
+    open_steps = p.where(F.col("p") >= LEAST_STEP).join(targets.select(F.col("node").alias("src")), "src", "left_anti").join(goal, "dst", "left")
+    steps = stage(open_steps.select("src", "dst", "p", F.coalesce("is_target", F.lit(False)).alias("is_target")), "steps")
+    if not names or steps.count() > held:
+        out = None
+        for n in names:
+            part = first_hits(p, starts.where(F.col("start") == n).select("node", "mass"), targets, tolerance, most_rounds, held).withColumn("start", F.lit(n))
+            out = part if out is None else out.unionByName(part)
+        return out if out is not None else p.select(F.lit(None).cast("string").alias("start"), F.col("dst").alias("target"), F.col("src").alias("via"), F.col("p").alias("prob")).limit(0)
+    mass = stage(starts.join(targets.select("node"), "node", "left_anti").groupBy("start", "node").agg(F.sum("mass").alias("mass")), "mass")
+
+    def walk(edges: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        parts = [_visits(edges, one, tolerance, most_rounds).assign(start=name) for name, one in first.groupby("start")]
+        return pd.concat(parts)[["start", "node", "mass", "is_left"]] if parts else pd.DataFrame({"start": [], "node": [], "mass": [], "is_left": []})
+
+    key = F.lit(0).alias("all")
+    kinds = dict(starts.dtypes)
+    found = stage(steps.groupBy(key).cogroup(mass.groupBy(key)).applyInPandas(walk, f"start {kinds['start']}, node {dict(steps.dtypes)['src']}, mass double, is_left boolean"), "visits")
+    left = found.where("is_left").agg(F.max("mass")).first()[0] or 0.0
+    if left >= tolerance:
+        raise RuntimeError(f"{left:.3g} of a start's mass is still on its way after {most_rounds} steps")
+    hits = steps.where("is_target").join(found.where("not is_left"), F.col("src") == F.col("node"))
+    return hits.groupBy("start", F.col("dst").alias("target"), F.col("src").alias("via")).agg(F.sum(F.col("mass") * F.col("p")).alias("prob"))
+
+
+def hub_of(breakdown: DataFrame) -> tuple:
+    """(start, set, prob) of the largest entry of a breakdown (start, name, prob), ties by start and name; Nones where nothing is hit."""
+    row = breakdown.where("prob > 0").orderBy(F.desc("prob"), "start", "name").first()
+    return (row["start"], row["name"], row["prob"]) if row else (None, None, 0.0)
+
+
+def default_routes(start: str, finals: list[str]) -> list[list[str]]:
+    """The start followed by each final set, then by each ordered pair of them."""
+    return [[start, s] for s in finals] + [[start, a, b] for a in finals for b in finals if a != b]
+
+
+def root_component(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) of the component that holds most of the roots (node), ties by the smallest component."""
+    labels = connected_components(edges)
+    best = labels.join(roots.select("node").distinct(), "node", "left_semi").groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return labels.join(F.broadcast(best.select("component")), "component", "left_semi").select("node")
+
+
 def k_step_flow(p: DataFrame, start: DataFrame, k: int) -> DataFrame:
     """(node, mass) after k steps of the chain from `start` (node, mass)."""
     mass = start

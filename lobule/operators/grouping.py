@@ -57,3 +57,35 @@ def location_correct(value: Column, batch: str) -> Column:
 def join_texts(c: str, sep: str = ";") -> Column:
     """Aggregate: the group's texts, sorted and joined."""
     return F.array_join(F.array_sort(F.collect_list(c)), sep)
+
+
+def ordinal_levels(df: DataFrame, column: str, name: str, share: float = 0.8) -> DataFrame:
+    """df with the category's place among all categories, from 0: by number if more than `share` of the values are numbers (others get
+    null), else as text. Null stays null. Only the distinct categories are sorted."""
+    text = F.col(f"`{column}`").cast("string")
+    number = text.try_cast("double")
+    known = df.agg(F.count(number), F.count(text)).first()
+    value = number if known[1] and known[0] > share * known[1] else text
+    levels = df.select(value.alias("_v")).where("_v is not null").distinct()
+    levels = levels.withColumn(name, F.row_number().over(Window.orderBy("_v")) - 1)  # one row per category
+    return df.withColumn("_v", value).join(F.broadcast(levels) if levels.limit(10_001).count() <= 10_000 else levels, "_v", "left").drop("_v")
+
+
+def join_results(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """Result tables left-joined on their key to the first; a column name that comes twice gets its table's name in front."""
+    out = None
+    for name, t in tables.items():
+        if out is None:
+            out = t
+            continue
+        clash = [c for c in t.columns if c in out.columns and c != key]
+        out = out.join(t.withColumnsRenamed({c: f"{name}_{c}" for c in clash}), key, "left")
+    return out
+
+
+def zip_by_key(parts: list[DataFrame], key: str) -> DataFrame:
+    """Tables of the same rows side by side: full joins on a unique key, as rows have no place of their own."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, key, "full")
+    return out

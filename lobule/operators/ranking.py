@@ -138,3 +138,41 @@ def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
         part = df.withColumn(tag, F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def outlier_cut(df: DataFrame, value: str, quantile: float = 0.99, most: float = 0.999, least_rows: int = 3) -> DataFrame:
+    """Rows whose value lies below the smaller of its quantile and `most`; if fewer than `least_rows` stay, below `most` alone."""
+    x = F.col(value)
+    known = df.where(x.isNotNull() & ~F.isnan(x))
+    q = known.agg(F.percentile(x, quantile)).first()[0]
+    cut = most if q is None else min(q, most)
+    if known.where(x < cut).limit(least_rows).count() < least_rows <= known.limit(least_rows).count():
+        cut = most
+    return known.where(x < cut)
+
+
+def before_after(before: DataFrame, after: DataFrame, value: str) -> DataFrame:
+    """One row of number, minimum, median and maximum of a column in both tables."""
+    parts = lambda name: [F.count(value).alias(f"n_{name}"), F.min(value).alias(f"min_{name}"), F.percentile(value, 0.5).alias(f"median_{name}"), F.max(value).alias(f"max_{name}")]
+    return before.agg(*parts("before")).crossJoin(after.agg(*parts("after")))  # one row each
+
+
+def signed_rescale(df: DataFrame, value: str, root: Column, target: Column) -> DataFrame:
+    """Adds `signed` and `unit`: rows of the root at 0, of the target side at 0..1 and all others at -1..0, each side by its own largest
+    value (0 where that isn't positive), and the same scale from 0 to 1. Unknown values stay null."""
+    x = F.col(value)
+    other = ~F.coalesce(root, F.lit(False)) & ~F.coalesce(target, F.lit(False))
+    top = df.agg(F.max(F.when(target, x)).alias("t"), F.max(F.when(other, x)).alias("o")).first()
+
+    def part(most: float | None) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / float(most))) if most and most > 0 else F.lit(0.0)
+
+    signed = F.when(x.isNull() | F.isnan(x), None).when(target, part(top["t"])).when(root, 0.0).otherwise(-part(top["o"]))
+    return df.withColumn("signed", signed).withColumn("unit", (F.col("signed") + 1) / 2)
+
+
+def places_to(df: DataFrame, keys: list[str], share: str, tie: str, threshold: float) -> DataFrame:
+    """(keys, needed): how many of a group's rows, largest shares first, add up to the threshold."""
+    by = Window.partitionBy(*keys).orderBy(F.desc(share), tie)
+    upto = df.withColumns({"_upto": F.sum(share).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_place": F.row_number().over(by)})
+    return upto.where(F.col("_upto") >= threshold - 1e-12).groupBy(*keys).agg(F.min("_place").alias("needed"))

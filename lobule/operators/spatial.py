@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lobule.shared import stage
 
-def radius_pairs(df: DataFrame, keys: list[str], id_column: str, x: str, y: str, radius: float) -> DataFrame:
-    """(keys, a, b, d) of rows of one group at most `radius` apart, both directions; a grid turns the range join into an equi-join."""
+
+def radius_pairs(df: DataFrame, keys: list[str], id_column: str, x: str, y: str, radius: float, asking: DataFrame | None = None) -> DataFrame:
+    """(keys, a, b, d) of rows of one group at most `radius` apart, both directions; a grid turns the range join into an equi-join.
+    asking (keys, a): rows whose neighbours are wanted, by default all."""
     fine = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(id_column).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
     fine = fine.withColumns({"gx": F.floor(F.col("x") / radius), "gy": F.floor(F.col("y") / radius)})
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asks = fine.select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.transform(near, lambda i: i + F.col("gx"))).alias("gx"), "gy")
+    some = fine if asking is None else fine.join(asking.withColumnRenamed("a", "id"), [*keys, "id"], "left_semi")
+    asks = some.select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.transform(near, lambda i: i + F.col("gx"))).alias("gx"), "gy")
     asks = asks.select(*keys, "a", "ax", "ay", "gx", F.explode(F.transform(near, lambda i: i + F.col("gy"))).alias("gy"))
     held = fine.select(*keys, "gx", "gy", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
@@ -172,3 +176,42 @@ def niche_tests(edges: DataFrame, labels: DataFrame, keys: list[str], category:
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, fraction_explained double, fraction_p double, moran double, moran_p double, pairs int, categories int"
     return _both(edges, labels, keys, category, bin_name).applyInPandas(test, schema)
+
+
+def neighbours_or_within(df: DataFrame, keys: list[str], id_column: str, x: str, y: str, k: int, radius: float, reach: float) -> DataFrame:
+    """(keys, a, b, place, d): the k nearest rows of the same group however far they are, ties by id, and all others within `radius`.
+
+    Rows that find fewer than k others within `reach` look again twice as far, until they have them or the group has no more, so the grid
+    join stays local for all but lonely rows. place counts on beyond k by distance.
+    """
+    fine = stage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(id_column).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")), "rows")
+    sizes = fine.groupBy(*keys).agg(F.count("*").alias("size"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    asking = fine.select(*keys, F.col("id").alias("a")).join(sizes, keys).withColumn("goal", F.least(F.lit(k), F.col("size") - 1))
+    asking, out = stage(asking.where("goal > 0").select(*keys, "a", "goal", "span"), "asking"), None
+    far = max(reach, radius)
+    by = Window.partitionBy(*keys, "a")
+    while not asking.isEmpty():
+        pairs = radius_pairs(fine, keys, "id", "x", "y", far, asking.select(*keys, "a")).withColumns({"place": F.row_number().over(by.orderBy("d", "b")), "found": F.count("*").over(by)})
+        met = stage(pairs.join(asking, [*keys, "a"]), "met")
+        done = met.where("found >= goal").where((F.col("place") <= k) | (F.col("d") <= radius)).select(*keys, "a", "b", "place", "d")
+        out = done if out is None else out.unionByName(done)
+        asking = stage(asking.join(met.where("found >= goal").select(*keys, "a").distinct(), [*keys, "a"], "left_anti"), "asking")
+        far *= 2
+    return out if out is not None else radius_pairs(fine, keys, "id", "x", "y", far).withColumn("place", F.lit(0)).select(*keys, "a", "b", "place", "d")
+
+
+def decision_scores(df: DataFrame, accuracy: str, fraction: str, categories: str, alpha: float = 0.05) -> DataFrame:
+    """Adds accuracy_score and fraction_score, 0 at their thresholds 0.8 and 0.7 and 1 at 0.2 above, and pairs_by_chance, the number of
+    category pairs that are significant at `alpha` by chance."""
+    c = F.col(categories)
+    return df.withColumns({"accuracy_score": (F.col(accuracy) - 0.8) / 0.2, "fraction_score": (F.col(fraction) - 0.7) / 0.2, "pairs_by_chance": alpha * c * (c + 1) / 2})
+
+
+def pair_score(pairs: Column, chance: Column) -> Column:
+    """(chance - pairs) / max(chance, 1): below 0 where more pairs are significant than chance makes so."""
+    return (chance - pairs) / F.greatest(chance, F.lit(1.0))
+
+
+def p_score(p: Column, alpha: float = 0.05) -> Column:
+    """log10(p / alpha): below 0 where p is significant."""
+    return F.log10(F.greatest(p, F.lit(1e-300)) / alpha)

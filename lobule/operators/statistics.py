@@ -172,8 +172,14 @@ def group_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFram
     return fine.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def kfold_regression(df: DataFrame, keys: list[str], y: str, x: str, fold: str, k: int) -> DataFrame:
-    """(keys, n, r2): pooled out-of-fold R2 of simple regression. Training sums of a fold are the group's sums less the fold's own."""
+def kfold_regression(df: DataFrame, keys: list[str], y: str, x: str, fold: str) -> DataFrame:
+    """(keys, n, r2): pooled out-of-fold R2 of simple regression."""
+    total = F.sum("syy") - F.sum("sy") ** 2 / F.sum("n")
+    return _fold_errors(df, keys, y, x, fold).groupBy(*keys).agg(F.sum("n").alias("n"), (1 - F.try_divide(F.sum("e"), total)).alias("r2"))
+
+
+def _fold_errors(df: DataFrame, keys: list[str], y: str, x: str, fold: str) -> DataFrame:
+    """Each fold's sums and its squared error `e` under the regression fitted on the other folds: the group's sums less the fold's own."""
     fine = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumns({"_x": F.col(x), "_y": F.col(y)})
     part = fine.groupBy(*keys, fold).agg(F.count("*").alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"))
     by = Window.partitionBy(*keys)
@@ -183,15 +189,14 @@ def kfold_regression(df: DataFrame, keys: list[str], y: str, x: str, fold: str,
     trained = trained.withColumn("b", slope).withColumn("a", F.try_divide(F.col("r_sy") - F.col("b") * F.col("r_sx"), "r_n"))
     b, a = F.col("b"), F.col("a")
     error = F.col("syy") + a * a * F.col("n") + b * b * F.col("sxx") - 2 * a * F.col("sy") - 2 * b * F.col("sxy") + 2 * a * b * F.col("sx")
-    total = F.sum("syy") - F.sum("sy") ** 2 / F.sum("n")
-    return trained.withColumn("e", error).groupBy(*keys).agg(F.sum("n").alias("n"), (1 - F.try_divide(F.sum("e"), total)).alias("r2"))
+    return trained.withColumn("e", error)
 
 
-def mixed_model(df: DataFrame, y: str, terms: dict[str, Column], group: str, nested: str | None = None) -> tuple[pd.DataFrame, dict[str, float]]:
+def mixed_model(df: DataFrame, y: str, terms: dict[str, Column], group: str, nested: str | None = None) -> tuple[pd.DataFrame, dict[str, float], np.ndarray]:
     """Restricted maximum likelihood of y = X b + group effect (+ effect of `nested` within group) + error.
 
     Every group (or nested cell) is reduced to its cross products by one aggregate; likelihoods are then evaluated from them alone, so
-    the driver holds a small matrix per group. Rows with a null take no part. Returns (term, coef, se, z, p) and the variances.
+    the driver holds a small matrix per group. Rows with a null take no part. Returns (term, coef, se, z, p), the variances, and the covariance matrix of the coefficients.
     """
     names = ["intercept", *terms]
     k = len(names)
@@ -237,9 +242,10 @@ def mixed_model(df: DataFrame, y: str, terms: dict[str, Column], group: str, nes
     m, _ = weighted(a, b)
     beta = np.linalg.solve(m[:k, :k], m[:k, k])
     residual = (m[k, k] - m[:k, k] @ beta) / (n - k)
-    se = np.sqrt(np.diag(np.linalg.inv(m[:k, :k])) * residual)
+    covariance = np.linalg.inv(m[:k, :k]) * residual
+    se = np.sqrt(np.diag(covariance))
     table = pd.DataFrame({"term": names, "coef": beta, "se": se, "z": beta / se, "p": [special.normal_two_sided(x) for x in beta / se]})
-    return table, {"residual": residual, "group": a * residual, "nested": b * residual}
+    return table, {"residual": residual, "group": a * residual, "nested": b * residual}, covariance
 
 
 def contrast(estimate: np.ndarray, covariance: np.ndarray, weights: np.ndarray) -> dict[str, float]:
@@ -258,3 +264,75 @@ def signed_score(df: DataFrame, key: str, columns: list[str], target: str) -> Da
     total = sum(abs(s[f"r{i}"] or 0.0) for i in range(len(columns))) or 1.0
     parts = [(col(c) - (s[f"m{i}"] or 0.0)) / ((s[f"s{i}"] or 0.0) or 1.0) * ((s[f"r{i}"] or 0.0) / total) for i, c in enumerate(columns)]
     return fine.select(key, sum(parts[1:], parts[0]).alias("score"))
+
+
+def percent_pairs(long: DataFrame, group: str, intervals: bool = False, least: float = 1e-12) -> DataFrame:
+    """(feature, a, b, percent, percent_se[, lower_error, upper_error]) of each pair of groups a < b: difference of means over the mean of
+    both means, in percent, null where that mean is nearer to 0 than `least`. Limits are those of Games-Howell comparisons at 95 %."""
+    means = moments(long, group).select("feature", "g", "m")
+    both = pairwise(long, group).join(means.select("feature", F.col("g").alias("a"), F.col("m").alias("ma")), ["feature", "a"]).join(means.select("feature", F.col("g").alias("b"), F.col("m").alias("mb")), ["feature", "b"])
+    middle = (F.col("ma") + F.col("mb")) / 2
+    scale = F.when(F.abs(middle) >= least, 100 / middle)
+    out = both.withColumns({"percent": F.col("diff") * scale, "percent_se": F.try_divide(F.abs("diff"), "t") * F.abs(scale)})
+    if not intervals:
+        return out.select("feature", "a", "b", "percent", "percent_se")
+    k = long.select(group).distinct().count()
+    wide = with_p(out.withColumn("k", F.lit(k)), "q95", lambda k, df: special.range_quantile(0.95, int(k), df), ["k", "df"])
+    half = F.col("q95") / math.sqrt(2) * F.col("percent_se")
+    return wide.select("feature", "a", "b", "percent", "percent_se", half.alias("lower_error"), half.alias("upper_error"))
+
+
+def feature_counts(results: DataFrame, by: str, top: int) -> DataFrame:
+    """(organelle, class, n) of the `top` features by a column of a result table; pairs that don't occur have 0."""
+    from lobule.functions.cleaning import measure_class_of, organelle_of
+
+    best = results.orderBy(F.desc_nulls_last(by), "feature").limit(top).select(organelle_of(F.col("feature")).alias("organelle"), measure_class_of(F.col("feature")).alias("class"))
+    every = results.sparkSession.createDataFrame([(o, c) for o in ("mito", "peroxisome", "ld") for c in ("shape", "size", "position", "abundance", "other")], "organelle string, class string")
+    counted = best.groupBy("organelle", "class").agg(F.count("*").alias("n"))
+    return every.join(counted, ["organelle", "class"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def violations(results: DataFrame, p: str, alpha: float) -> DataFrame:
+    """One row (features, violated, percent) of a table of tests; unknown p are not counted."""
+    known = results.where(F.col(p).isNotNull() & ~F.isnan(p))
+    return known.agg(F.count("*").alias("features"), F.count_if(F.col(p) < alpha).alias("violated")).withColumn("percent", F.try_divide(F.col("violated") * 100.0, "features"))
+
+
+def regression_bands(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
+    """(keys, place, x, fit, se_mean, se_new, df) at the smallest, mean and largest x of each group's simple regression; groups of fewer
+    than three rows or one x have no errors. All from one aggregate."""
+    fine = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    sums = fine.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    slope = F.try_divide("sxy", "sxx")
+    variance = F.try_divide(F.greatest(F.lit(0.0), F.col("syy") - slope * F.col("sxy")), F.when(F.col("n") > 2, F.col("n") - 2))
+    at = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.col(c).alias("x")) for p, c in (("low", "lo"), ("mean", "mx"), ("high", "hi"))])).alias("at")
+    each = sums.select("*", slope.alias("slope"), variance.alias("variance"), at).select("*", "at.*")
+    off = F.try_divide((F.col("x") - F.col("mx")) ** 2, "sxx")
+    return each.select(
+        *keys, "place", "x", (F.col("my") + F.col("slope") * (F.col("x") - F.col("mx"))).alias("fit"), F.sqrt(F.col("variance") * (1 / F.col("n") + off)).alias("se_mean"),
+        F.sqrt(F.col("variance") * (1 + 1 / F.col("n") + off)).alias("se_new"), (F.col("n") - 2).alias("df"),
+    )
+
+
+def band_limits(bands: DataFrame, level: float = 0.95) -> DataFrame:
+    """Adds mean_low, mean_high, new_low and new_high by the t distribution."""
+    wide = with_p(bands, "_t", lambda df: special.t_quantile((1 + level) / 2, df) if df > 0 else None, ["df"])
+    return wide.withColumns({f"{n}_{side}": F.col("fit") + sign * F.col("_t") * F.col(f"se_{n}") for n in ("mean", "new") for side, sign in (("low", -1), ("high", 1))}).drop("_t")
+
+
+def fold_scores(df: DataFrame, keys: list[str], y: str, x: str, fold: str) -> DataFrame:
+    """(keys, folds, mean_r2, sd_r2): R squared of each held-out fold of simple regression, their mean and deviation (ddof 0)."""
+    each = _fold_errors(df, keys, y, x, fold)
+    score = 1 - F.try_divide("e", F.col("syy") - F.col("sy") ** 2 / F.col("n"))
+    return each.withColumn("r2", score).groupBy(*keys).agg(F.count("r2").alias("folds"), F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("sd_r2"))
+
+
+def kernel_density(df: DataFrame, group: str, value: str, low: float, high: float, points: int) -> DataFrame:
+    """(group, place, density) on an even grid, Gaussian kernel, bandwidth 1.06 s n^-0.2; groups without spread have none. Equal values are
+    counted first; a row meets the grid's points only, so the work is linear."""
+    counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("x")).agg(F.count("*").alias("m"))
+    spread = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), (1.06 * F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2))).alias("h")).where("h > 0")
+    step = (high - low) / (points - 1)
+    wide = counted.join(F.broadcast(spread), group).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))  # one row per group
+    z = (low + F.col("place") * step - F.col("x")) / F.col("h")
+    return wide.groupBy(group, "place").agg((F.sum(F.col("m") * F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))

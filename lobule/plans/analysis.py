@@ -19,8 +19,8 @@ from lobule.plans.tables import ivm_cells
 from lobule.shared import stage, table
 
 QUERIES, ORACLE = {}, {}
-FEW = FEATURES[:5]
-VECTOR = ["mito_density", "mito_avg_area", "peroxisome_density", "ld_density"]  # features of the distance-based queries
+FEW = FEATURES
+VECTOR = FEATURES  # features of the distance-based queries
 
 
 def query(sql: str | None = None):
@@ -70,7 +70,7 @@ def games_howell_t(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def games_howell_p(spark: SparkSession, d: str) -> DataFrame:
     """T4: p-values of the studentized range."""
-    return T.with_p(T.pairwise(long_cells(spark, d), "condition").withColumn("k", F.lit(3)), "p", T.range_p, ["q", "k", "df"]).select("feature", "a", "b", r("q", 5).alias("q"), r("p", 6).alias("p"))
+    return T.with_p(T.pairwise(long_cells(spark, d), "condition").withColumn("k", F.lit(cells(spark, d, []).select("condition").distinct().count())), "p", T.range_p, ["q", "k", "df"]).select("feature", "a", "b", r("q", 5).alias("q"), r("p", 6).alias("p"))
 
 
 @query()
@@ -125,12 +125,12 @@ def regional_ols(spark: SparkSession, d: str) -> DataFrame:
 def kfold_ols_r2(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold R squared, five folds."""
     c = cells(spark, d, ["mito_density", "peroxisome_density"]).withColumn("fold", W.folds(F.col("row_id"), 5))
-    return T.kfold_regression(c, ["condition"], "peroxisome_density", "mito_density", "fold", 5).select("condition", "n", r("r2", 5).alias("r2"))
+    return T.kfold_regression(c, ["condition"], "peroxisome_density", "mito_density", "fold").select("condition", "n", r("r2", 5).alias("r2"))
 
 
 @query()
 def interaction_ols(spark: SparkSession, d: str) -> DataFrame:
-    """Regression with an interaction."""
+    """Regression with an interaction."""
     c = ivm_cells(spark, d).where("zone is not null")
     region = (F.col("zone") == "PV").cast("double")
     return spark.createDataFrame(T.ols(c, "tmrm", {"ld_area": F.col("ld_area"), "region": region, "ld_area:region": F.col("ld_area") * region}).round(6))
@@ -140,7 +140,7 @@ def interaction_ols(spark: SparkSession, d: str) -> DataFrame:
 def mixed_model_liver_tile(spark: SparkSession, d: str) -> DataFrame:
     """Mixed model of the ratio with liver and tile within liver."""
     m = mito(spark, d).where("zone is not null and ratio_01_00 between 0.0005 and 60 and liver_id is not null")
-    table_, variances = T.mixed_model(m.withColumn("y", F.ln("ratio_01_00")), "y", {"zone_PV": (F.col("zone") == "PV").cast("double"), "aspect": F.col("aspect_ratio")}, "liver_id", "tile_section")
+    table_, variances, _ = T.mixed_model(m.withColumn("y", F.ln("ratio_01_00")), "y", {"zone_PV": (F.col("zone") == "PV").cast("double"), "aspect": F.col("aspect_ratio")}, "liver_id", "tile_section")
     for name, value in variances.items():
         table_[f"variance_{name}"] = value
     return spark.createDataFrame(table_.round(6))
@@ -150,9 +150,10 @@ def mixed_model_liver_tile(spark: SparkSession, d: str) -> DataFrame:
 def planned_contrast(spark: SparkSession, d: str) -> DataFrame:
     """Predicted means of both zones with intervals, and their difference."""
     m = mito(spark, d).where("zone is not null and ratio_01_00 between 0.0005 and 60 and liver_id is not null").withColumn("y", F.ln("ratio_01_00"))
-    t, _ = T.mixed_model(m, "y", {"pv": (F.col("zone") == "PV").cast("double"), "cv": (F.col("zone") == "CV").cast("double") * 0 + F.col("solidity")}, "liver_id")
-    beta, cov = t["coef"].to_numpy(), np.diag(t["se"].to_numpy() ** 2)
-    return spark.createDataFrame([(n, *[round(float(x), 6) for x in T.contrast(beta, cov, np.array(w)).values()]) for n, w in (("PV", [1.0, 1, 0.9]), ("CV", [1.0, 0, 0.9]), ("PV - CV", [0.0, 1, 0]))], "name string, estimate double, se double, z double, p double, low double, high double")
+    t, _, covariance = T.mixed_model(m, "y", {"pv": (F.col("zone") == "PV").cast("double"), "solidity": F.col("solidity")}, "liver_id")
+    wanted = {"PV": [1.0, 1, 0.9], "CV": [1.0, 0, 0.9], "PV - CV": [0.0, 1, 0]}  # intercept, zone, solidity
+    rows = [(n, *[round(float(x), 6) for x in T.contrast(t["coef"].to_numpy(), covariance, np.array(w)).values()]) for n, w in wanted.items()]
+    return spark.createDataFrame(rows, "name string, estimate double, se double, z double, p double, low double, high double")
 
 
 _ST = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, corr({c}, position) AS r_{c}" for c in FEW)
@@ -226,7 +227,8 @@ _D = lambda a, b: "sqrt(" + " + ".join(f"({a}.v{i} - {b}.v{i}) * ({a}.v{i} - {b}
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d, VECTOR).na.drop(subset=["cat", *VECTOR]).select("row_id", "cat", *VECTOR)
+    """Complete feature vectors, staged, as the optimiser's constraint sets explode over 23 derived columns in the joins that follow."""
+    return stage(cells(spark, d, VECTOR).na.drop(subset=["cat", *VECTOR]).select("row_id", "cat", *VECTOR), "vectors")
 
 
 @query(f"{_V}, m AS (SELECT cat, count(*) AS m FROM k GROUP BY cat), s AS (SELECT a.row_id, a.cat, b.cat AS other, sum({_D('a', 'b')}) AS total FROM k a, k b GROUP BY ALL), e AS (SELECT row_id, max(CASE WHEN s.cat = other THEN total / nullif(m - 1, 0) END) AS a, min(CASE WHEN s.cat <> other THEN total / m END) AS b FROM s JOIN m ON m.cat = s.other GROUP BY row_id) SELECT count(*) AS n, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 7) AS silhouette FROM e")
@@ -293,13 +295,6 @@ def log_detect(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d, ["mito_density"]).agg(((F.min(x) >= 0) & ((F.max(x) > 20) | (F.percentile(x, 0.95) > 50))).alias("looks_linear"))
 
 
-@query(f"WITH s(robust, overlap, mahal, sil, db, ent, res) AS (SELECT 0.8, 0.1, 2.0, 0.3, 1.2, 0.4, CAST(NULL AS DOUBLE)) SELECT round((0.15 * (robust + (1 - overlap) + (1 - exp(-mahal)) + (sil + 1) / 2 + 1 / (1 + db) + (1 - ent))) / 0.9, 8) AS score FROM s")
-def composite_score(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted mean of the known qualities."""
-    row = spark.createDataFrame([(0.8, 0.1, 2.0, 0.3, 1.2, 0.4, None)], "a double, b double, c double, d double, e double, f double, g double")
-    return row.select(r(K.composite(*[F.col(c) for c in "abcdefg"])).alias("score"))
-
-
 def placed(spark: SparkSession, d: str) -> DataFrame:
     """Cells with a stack, plane coordinates, category and position bin."""
     c = cells(spark, d, ["centroid-0", "centroid-1"]).join(table(spark, d, "full_concat_clusters").select("row_id", "stack_id"), "row_id")
@@ -359,18 +354,19 @@ def niche_significance(spark: SparkSession, d: str) -> DataFrame:
     return t.select("stack_id", "n", *[r(c, 6).alias(c) for c in ("fraction_explained", "fraction_p", "moran", "moran_p")], "pairs", "categories")
 
 
-def two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def two_sides(spark: SparkSession, d: str, other: str = "STV") -> tuple[DataFrame, DataFrame]:
     c = cells(spark, d, []).where("cat is not null and position is not null")
-    return c.where("condition = 'CNT'").select(F.col("cat").alias("a"), F.col("position").alias("x")), c.where("condition = 'STV'").select(F.col("cat").alias("b"), F.col("position").alias("x"))
+    return c.where("condition = 'CNT'").select(F.col("cat").alias("a"), F.col("position").alias("x")), c.where(F.col("condition") == other).select(F.col("cat").alias("b"), F.col("position").alias("x"))
 
 
 _WS = f"WITH {CELLS}, l AS (SELECT cat AS a, position AS x, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY cat) AS n FROM cells WHERE condition = 'CNT' AND cat IS NOT NULL AND position IS NOT NULL GROUP BY cat, position), q AS (SELECT cat AS b, position AS x, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY cat) AS n FROM cells WHERE condition = 'STV' AND cat IS NOT NULL AND position IS NOT NULL GROUP BY cat, position), u AS (SELECT a, b, l.x, l.n FROM l, (SELECT DISTINCT b FROM q) UNION ALL SELECT a, b, q.x, -q.n FROM q, (SELECT DISTINCT a FROM l)), s AS (SELECT a, b, x, sum(n) AS n FROM u GROUP BY ALL), g AS (SELECT a, b, abs(sum(n) OVER (PARTITION BY a, b ORDER BY x ROWS UNBOUNDED PRECEDING)) AS g, x, lead(x) OVER (PARTITION BY a, b ORDER BY x) AS nx FROM s), w AS (SELECT a, b, sum(g * (nx - x)) AS w FROM g GROUP BY a, b)"
 
 
-@query(f"{_WS} SELECT a, b, round(w, 7) AS w FROM w")
+@query(" UNION ALL ".join(f"SELECT '{o}' AS other, * FROM ({_WS.replace('STV' + chr(39) + ' AND cat', o + chr(39) + ' AND cat')} SELECT a, b, round(w, 7) AS w FROM w)" for o in ("STV", "WD")))
 def wasserstein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of the categories' distributions along the axis."""
-    return A.wasserstein(*two_sides(spark, d)).select("a", "b", r("w", 7).alias("w"))
+    """Distances of the control categories' distributions along the axis from those of both other conditions."""
+    parts = [A.wasserstein(*two_sides(spark, d, o)).select(F.lit(o).alias("other"), "a", "b", r("w", 7).alias("w")) for o in ("STV", "WD")]
+    return parts[0].unionByName(parts[1])
 
 
 @query()
@@ -423,29 +419,36 @@ def embedding_columns(spark: SparkSession, d: str) -> DataFrame:
 
 _KN = f"{_V}, pr AS (SELECT a.row_id AS src, b.row_id AS dst, {_D('a', 'b')} AS d FROM k a JOIN k b ON a.row_id <> b.row_id), nn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS place FROM pr QUALIFY place <= 10), sc AS (SELECT src, max(d) + 1e-8 AS s FROM nn GROUP BY src), wt AS (SELECT nn.src, nn.dst, exp(-d * d / (2 * a.s * b.s)) AS w FROM nn JOIN sc a ON a.src = nn.src JOIN sc b ON b.src = nn.dst), af AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM wt UNION ALL SELECT dst, src, w FROM wt) GROUP BY src, dst)"
 
+_KN += ", mk AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM af WHERE w > 0 UNION ALL SELECT DISTINCT src, src, 1.0 FROM af WHERE src NOT IN (SELECT src FROM af WHERE w > 0))"
+
 
 def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
     return stage(G.affinity(stage(G.knn(vectors(spark, d), "row_id", VECTOR, 10), "knn"), 10), "affinity")
 
 
+def evenly(nodes: DataFrame) -> DataFrame:
+    """The nodes with equal masses that add up to 1."""
+    return nodes.withColumn("mass", F.lit(1.0 / max(1, nodes.count())))
+
+
 @query(f"{_KN} SELECT src, dst, round(w, 6) AS w FROM af")
 def affinity_graph(spark: SparkSession, d: str) -> DataFrame:
     """G1: self-tuning neighbour graph."""
     return neighbour_graph(spark, d).select("src", "dst", r("w", 6).alias("w"))
 
 
-@query(f"{_KN} SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM af")
+@query(f"{_KN} SELECT src, dst, round(p, 6) AS p FROM mk")
 def markov_rows(spark: SparkSession, d: str) -> DataFrame:
     """Random walk on the graph."""
     return G.markov(neighbour_graph(spark, d)).select("src", "dst", r("p", 6).alias("p"))
 
 
-@query(f"{_KN}, p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM af), m0 AS (SELECT row_id AS node, 1.0 / count(*) OVER () AS mass FROM k WHERE cat = 1), m1 AS (SELECT dst AS node, sum(mass * p) AS mass FROM m0 JOIN p ON node = src GROUP BY dst), m2 AS (SELECT dst AS node, sum(mass * p) AS mass FROM m1 JOIN p ON node = src GROUP BY dst) SELECT cat, round(sum(mass), 6) AS mass FROM m2 JOIN k ON node = row_id GROUP BY cat")
+@query(f"{_KN}, p AS (SELECT * FROM mk), m0 AS (SELECT row_id AS node, 1.0 / count(*) OVER () AS mass FROM k WHERE cat = 1), m1 AS (SELECT dst AS node, sum(mass * p) AS mass FROM m0 JOIN p ON node = src GROUP BY dst), m2 AS (SELECT dst AS node, sum(mass * p) AS mass FROM m1 JOIN p ON node = src GROUP BY dst) SELECT cat, round(sum(mass), 6) AS mass FROM m2 JOIN k ON node = row_id GROUP BY cat")
 def k_step_flow(spark: SparkSession, d: str) -> DataFrame:
     """Where walks from category 1 are after two steps."""
     p = G.markov(neighbour_graph(spark, d))
     v = vectors(spark, d)
-    start = v.where("cat = 1").select(F.col("row_id").alias("node")).withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy()))
+    start = evenly(v.where("cat = 1").select(F.col("row_id").alias("node")))
     return G.k_step_flow(p, start, 2).join(v.select(F.col("row_id").alias("node"), "cat"), "node").groupBy("cat").agg(r(F.sum("mass"), 6).alias("mass"))
 
 
@@ -471,7 +474,7 @@ def first_hit_categories(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     p = stage(G.markov(neighbour_graph(spark, d)), "markov")
     of = v.select(F.col("row_id").alias("node"), "cat")
-    start = of.where("cat = 1").select("node").withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy()))
+    start = evenly(of.where("cat = 1").select("node"))
     hits = G.first_hits(p, start, of.where("cat in (4, 5)").select("node"))
     named = hits.join(of.select(F.col("node").alias("target"), F.col("cat").alias("to")), "target").join(of.select(F.col("node").alias("via"), F.col("cat").alias("last")), "via")
     return named.groupBy("to", "last").agg(r(F.sum("prob"), 5).alias("prob"))

@@ -48,6 +48,13 @@ def stage(df: DataFrame, hint: str = "stage", files: int | None = None) -> DataF
     return out
 
 
+def scratch(spark: SparkSession, hint: str) -> str:
+    """A new path in the shared folder for a file that a query writes and reads back; removed with the stage tables."""
+    path = f"{shared_folder(spark)}/{hint}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def free(df: DataFrame | None) -> None:
     """Remove the table that stage() wrote for df, if there is one; nothing may read it afterwards."""
     path = getattr(df, "staged_at", None)

@@ -91,3 +91,33 @@ def null_report(df: DataFrame, keys: list[str]) -> DataFrame:
     others = [c for c, t in df.dtypes if c not in keys]
     bad = [F.count_if(finite(col(c)).isNull() if t in ("double", "float") else col(c).isNull()).alias(f"null_{c}") for c, t in df.dtypes if c in others]
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *bad)
+
+
+def precomputed_components(df: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
+    """(key, component_1, component_2, ...): components that an earlier run stored, by default all of them in the order of their numbers;
+    rows that lack one stay out. A table without components raises."""
+    names = names or sorted((c for c in df.columns if c.startswith("component_") and c[10:].isdigit()), key=lambda c: int(c[10:]))
+    if not names:
+        raise ValueError("no component_ columns")
+    return df.select(col(key), *[finite(col(c).cast("double")).alias(c) for c in names]).na.drop(subset=names)
+
+
+def write_assignments(df: DataFrame, path: str, key: str, position: str, components: list[str], cluster: str) -> None:
+    """Cluster assignments as CSV: key, position, components, cluster."""
+    write_table(df.select(col(key), col(position), *[col(c) for c in components], col(cluster).alias("cluster")), path, form="csv")
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """The only column of df as lines of text."""
+    df.write.mode("overwrite").text(path)
+
+
+def resolve(spark: SparkSession, path: str, folders: list[str]) -> str:
+    """The path itself if it exists, else the first of folder/path that does; none raises."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    tried = [path, *(f"{f.rstrip('/')}/{path.lstrip('/')}" for f in folders)]
+    for p in tried:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(conf).exists(at):
+            return p
+    raise FileNotFoundError(f"none of {tried} exists")

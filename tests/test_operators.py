@@ -97,7 +97,7 @@ def test_mixed_model_recovers_variances(spark):
         for _ in range(25):
             x = rng.normal()
             rows.append((g, float(x), float(2 + 0.5 * x + u + rng.normal(0, 0.5))))
-    table, variances = statistics.mixed_model(spark.createDataFrame(rows, "g int, x double, y double"), "y", {"x": F.col("x")}, "g")
+    table, variances, covariance = statistics.mixed_model(spark.createDataFrame(rows, "g int, x double, y double"), "y", {"x": F.col("x")}, "g")
     assert abs(table["coef"][1] - 0.5) < 0.05 and abs(variances["residual"] - 0.25) < 0.03 and 0.5 < variances["group"] < 1.8
 
 
