@@ -160,14 +160,14 @@ def before_after(before: DataFrame, after: DataFrame, value: str) -> DataFrame:
 def signed_rescale(df: DataFrame, value: str, root: Column, target: Column) -> DataFrame:
     """Adds `signed` and `unit`: rows of the root at 0, of the target side at 0..1 and all others at -1..0, each side by its own largest
     value (0 where that isn't positive), and the same scale from 0 to 1. Unknown values stay null."""
-    x = F.col(value)
+    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
     other = ~F.coalesce(root, F.lit(False)) & ~F.coalesce(target, F.lit(False))
     top = df.agg(F.max(F.when(target, x)).alias("t"), F.max(F.when(other, x)).alias("o")).first()
 
     def part(most: float | None) -> Column:
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / float(most))) if most and most > 0 else F.lit(0.0)
 
-    signed = F.when(x.isNull() | F.isnan(x), None).when(target, part(top["t"])).when(root, 0.0).otherwise(-part(top["o"]))
+    signed = F.when(x.isNull(), None).when(target, part(top["t"])).when(root, 0.0).otherwise(-part(top["o"]))
     return df.withColumn("signed", signed).withColumn("unit", (F.col("signed") + 1) / 2)
 
 
