@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lobule.shared import stage
+from lobule.shared import join_one_row_each, stage
 
 DELTA = 500
-SALT_ROWS = 250_000  # distinct values of a group and part that one task sorts, about, if one group held everything
+SALT_ROWS = 250_000  # distinct values of a group and part that one task sorts; a larger group is cut by hash into digests that are merged
+FAN_IN = 64  # digests that are merged at a time
 BROADCAST_GROUPS = 50_000  # estimates of up to so many groups are sent to the rows; more are joined by shuffle
 
 
@@ -30,14 +31,41 @@ def compress(centroids: DataFrame, keys: list[str], delta: int = DELTA) -> DataF
     return marked.groupBy(*keys, "bucket").agg(mean.alias("mean"), F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high")).drop("bucket")
 
 
-def build_digests(values: DataFrame, keys: list[str], part: list[str], delta: int = DELTA, salts: int = 8) -> DataFrame:
+def build_digests(values: DataFrame, keys: list[str], part: list[str], delta: int = DELTA, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One digest per key and part of a table (keys, part, value, weight); weight counts equal values.
 
-    Large groups are split: each value goes to one of `salts` digests by its hash, and these are merged.
+    A group of more than `salt_rows` distinct values is cut by hash into as many digests as it needs, others are not; these are merged, at
+    most FAN_IN at a time. Only the big groups, at most rows / salt_rows, go to the driver.
     """
-    salted = values.select(*keys, *part, F.pmod(F.xxhash64("value"), F.lit(salts)).alias("salt"), F.col("value").alias("mean"), F.col("weight").cast("double"), F.col("value").alias("low"), F.col("value").alias("high"))
-    first = compress(salted, [*keys, *part, "salt"], delta)
-    return compress(first.drop("salt"), [*keys, *part], delta)
+    by = [*keys, *part]
+    plain = values.select(*by, F.col("value").alias("mean"), F.col("weight").cast("double"), F.col("value").alias("low"), F.col("value").alias("high"))
+    big = values.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > salt_rows).collect()
+    if not big:
+        return compress(plain, by, delta)
+    group = F.xxhash64(*by)
+    pieces = {r["h"]: -(-r["n"] // salt_rows) for r in values.sparkSession.createDataFrame(big).select(group.alias("h"), "n").collect()}
+    times = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for h, c in pieces.items() for x in (h, c)]), group), F.lit(1).cast("long"))
+    return merge_pieces(plain.withColumn("piece", F.pmod(F.xxhash64("mean"), times)), by, max(pieces.values()), delta)
+
+
+def merge_pieces(pieces: DataFrame, keys: list[str], count: int, delta: int = DELTA) -> DataFrame:
+    """Digests of a column `piece` (0 .. count - 1) of each key, merged to one per key, at most FAN_IN at a time."""
+    out = compress(pieces, [*keys, "piece"], delta)
+    while count > FAN_IN:
+        out = compress(out.withColumn("piece", F.floor(F.col("piece") / FAN_IN)), [*keys, "piece"], delta)
+        count = -(-count // FAN_IN)
+    return compress(out.drop("piece"), keys, delta) if count > 1 else out.drop("piece")
+
+
+def merge_digests(digests: DataFrame, keys: list[str], part: list[str], delta: int = DELTA, parts: int | None = None) -> DataFrame:
+    """One digest per key from those of its parts (days, files, runs), which may have been saved at different times; at most FAN_IN, about,
+    are merged at a time. parts: how many parts a key has at most, counted if not given."""
+    if parts is None:
+        parts = digests.select(*part).distinct().count()
+    if parts <= FAN_IN:
+        return compress(digests.drop(*part), keys, delta)
+    count = -(-parts // FAN_IN)
+    return merge_pieces(digests.withColumn("piece", F.pmod(F.xxhash64(*part), F.lit(count))).drop(*part), keys, count, delta)
 
 
 def estimate(digests: DataFrame, keys: list[str], percents: list[float]) -> DataFrame:
@@ -67,7 +95,7 @@ def certify(values: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFra
     lists = estimates.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(F.struct("percent", "estimate")).alias("e"))
     few = lists.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     rows = values.groupBy(*keys, "value").agg(F.sum("weight").alias("weight")) if not few else values
-    joined = rows.join(F.broadcast(lists) if few else lists, keys).select(*keys, "n", "value", "weight", F.explode("e").alias("e"))
+    joined = (rows.join(F.broadcast(lists), keys) if few else join_one_row_each(rows, lists.withColumn("size", F.col("n")), keys, "size")).select(*keys, "n", "value", "weight", F.explode("e").alias("e"))
     counted = joined.groupBy(*keys, "e.percent", "e.estimate").agg(
         F.first("n").alias("n"), F.sum(F.when(F.col("value") < F.col("e.estimate"), F.col("weight")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("e.estimate"), F.col("weight")).otherwise(0)).alias("upto")
     )
@@ -76,7 +104,7 @@ def certify(values: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFra
     return counted.select(*keys, "n", "percent", "estimate", error.alias("rank_error"))
 
 
-def percentiles(values: DataFrame, keys: list[str], part: list[str], percents: list[float], delta: int = DELTA, tolerance: float = 0.003, salts: int | None = None, rounds: int = 4) -> DataFrame:
+def percentiles(values: DataFrame, keys: list[str], part: list[str], percents: list[float], delta: int = DELTA, tolerance: float = 0.003, salt_rows: int = SALT_ROWS, rounds: int = 4) -> DataFrame:
     """(keys, n, percent, estimate, rank_error) of every key of a table (keys, part, value).
 
     rank_error is certified by counting: the estimate's true rank is that close to the percentile. A group with an error above
@@ -88,12 +116,12 @@ def percentiles(values: DataFrame, keys: list[str], part: list[str], percents: l
     names = [F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(k) for k in [*keys, *part]]
     kept = values.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
     rows = stage(kept.select(*names, (value + 0.0).alias("value")).groupBy(*keys, *part, "value").agg(F.count("*").alias("weight")), "values")
-    if salts is None:
-        salts = max(4, -(-rows.count() // SALT_ROWS))
+    parts = rows.select(*part).distinct().count()
     open_rows, done = rows, None
     for i in range(rounds):
-        days = build_digests(open_rows, keys, part, delta * 4**i, salts)
-        found = stage(certify(open_rows, stage(estimate(compress(days, keys, delta * 4**i), keys, percents), "estimates"), keys), "certified")
+        days = build_digests(open_rows, keys, part, delta * 4**i, salt_rows)
+        whole = merge_digests(days, keys, part, delta * 4**i, parts)
+        found = stage(certify(open_rows, stage(estimate(whole, keys, percents), "estimates"), keys), "certified")
         bad = found.where(F.col("rank_error") > F.greatest(F.lit(tolerance), 1 / F.col("n"))).select(*keys).distinct()
         if i == rounds - 1 or bad.isEmpty():
             done = found if done is None else done.unionByName(found)

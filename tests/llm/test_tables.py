@@ -9,7 +9,7 @@ def test_percentiles_within_bound(spark):
     rng = np.random.default_rng(0)
     rows = [("a", str(i % 3), float(v)) for i, v in enumerate(rng.lognormal(size=4000))] + [("b", "0", 1.0)] * 500 + [("c", None, 2.0), (None, "1", 5.0), ("a", "0", None), ("a", "0", float("nan"))]
     df = spark.createDataFrame(rows, "g string, day string, value double").withColumn("weight", F.lit("clash"))
-    got = {(r["g"], r["percent"]): r for r in digests.percentiles(df, ["g"], ["day"], [5, 50, 99], delta=100, salts=4).collect()}
+    got = {(r["g"], r["percent"]): r for r in digests.percentiles(df, ["g"], ["day"], [5, 50, 99], delta=100, salt_rows=4).collect()}
     assert len(got) == 12 and all(r["rank_error"] <= max(0.003, 1 / r["n"]) for r in got.values())
     values = np.array([v for g, _, v in rows if g == "a" and v == v and v is not None], float)
     assert abs((values < got["a", 99.0]["estimate"]).mean() - 0.99) <= 0.003
@@ -83,3 +83,20 @@ def test_pieces_cover_documents(spark):
     long = sorted((r["piece"], r["first_token"], r["n_tokens"]) for r in got if r["id"] == 0)
     assert all(a[1] + a[2] == b[1] for a, b in zip(long, long[1:])) and all(p[2] == 512 for p in long[:-1])
     assert packing.pack_documents(df.where("doc_id < 0"), "doc_id", "text").count() == 0
+
+
+def test_digests_far_larger_than_their_centroids(spark):
+    """Groups of 200 times delta values, hot ones cut by hash, merged over parts with a small fan-in: errors stay certified and small."""
+    from lobule.llm import digests
+
+    rng = np.random.default_rng(7)
+    rows = [("hot", f"d{i % 90}", float(v)) for i, v in enumerate(rng.lognormal(size=20_000))] + [("cold", "d0", float(v)) for v in rng.normal(size=300)]
+    df = spark.createDataFrame(rows, "k string, day string, value double")
+    weighted = df.groupBy("k", "day", "value").agg(F.count("*").alias("weight"))
+    whole = digests.merge_digests(digests.build_digests(weighted, ["k"], ["day"], 100, salt_rows=50), ["k"], ["day"], 100)
+    assert all(r["n"] <= 100 for r in whole.groupBy("k").agg(F.count("*").alias("n")).collect())
+    assert {r["k"]: r["w"] for r in whole.groupBy("k").agg(F.sum("weight").alias("w")).collect()} == {"hot": 20_000.0, "cold": 300.0}
+    got = digests.percentiles(df, ["k"], ["day"], [5.0, 50.0, 99.0], delta=100, tolerance=0.004, salt_rows=50).collect()
+    for r in got:
+        v = np.array([x for k, _, x in rows if k == r["k"]])
+        assert abs((v <= r["estimate"]).mean() - r["percent"] / 100) <= max(0.004, 1 / len(v)) + 1 / len(v)
