@@ -141,6 +141,48 @@ def test_leaves_alone(fitted, text):
     assert personal.detect([text], fitted)[0] == []
 
 
+# Sentences whose wording the training never uses, with all that is in them.
+UNSEEN = [
+    ("I met Sarah Thompson at the workshop in Leeds.", [("name", "Sarah Thompson")]),
+    ("The package was handed over to Miguel Fernández yesterday.", [("name", "Miguel Fernández")]),
+    ("Parcels go to 1600 Pennsylvania Avenue NW, Washington, DC 20500 only.", [("address", "1600 Pennsylvania Avenue NW, Washington, DC 20500")]),
+    ("Unser Büro liegt Unter den Linden 77, 10117 Berlin, im Hof.", [("address", "Unter den Linden 77, 10117 Berlin")]),
+    ("She moved to 221B Baker Street, London NW1 6XE in spring.", [("address", "221B Baker Street, London NW1 6XE")]),
+    ("Nous habitons 12 rue de la Paix, 75002 Paris depuis mai.", [("address", "12 rue de la Paix, 75002 Paris")]),
+    ("Ring me on 0161 496 0123 after six.", [("phone", "0161 496 0123")]),
+    ("Sprechstunde unter +49 89 1234 5678 ab neun.", [("phone", "+49 89 1234 5678")]),
+    ("Fax (415) 555-2671 is dead.", [("phone", "(415) 555-2671")]),
+    ("Queries: helen.mirren@theatre.example please.", [("email", "helen.mirren@theatre.example")]),
+    ("bob at workshop dot example is the old box", [("email", "bob at workshop dot example")]),
+    ("His patient number 48213377 was on the wristband.", [("id_number", "48213377")]),
+    ("Codice fiscale RSSMRA85T10A562S was stamped twice.", [("id_number", "RSSMRA85T10A562S")]),
+    ("National insurance number QQ 12 34 56 C belongs to the tenant.", [("id_number", "QQ 12 34 56 C")]),
+    ("Her driving licence no. MORGA657054SM was copied.", [("id_number", "MORGA657054SM")]),
+    ("Steuer-ID 12 345 678 901 steht auf dem Bescheid.", [("id_number", "12 345 678 901")]),
+    ("Both Emily Watson and Ravi Shankar declined.", [("name", "Emily Watson"), ("name", "Ravi Shankar")]),
+    ("The keys are with Ludwig van Beethoven until noon.", [("name", "Ludwig van Beethoven")]),
+    ("Interview with Professor A. Turing on machines.", [("name", "A. Turing")]),
+    ("Minutes taken by O'Connor, Flannery last week.", [("name", "O'Connor, Flannery")]),
+    ("The Western Blot and the Golgi Apparatus looked fine.", []),
+    ("Part 4471-22-9981 of series 12/3456 broke.", []),
+    ("Victoria Blue differs from Nile Red in water.", []),
+    ("Version 10.4.2 needs 120 000 000 rows and 4096 columns.", []),
+]
+
+
+def test_unseen_wording(fitted):
+    hit = got = true = 0
+    for (text, want), spans in zip(UNSEEN, personal.detect([t for t, _ in UNSEEN], fitted)):
+        found = {(personal.KINDS[k], text[a:b]) for k, a, b in spans}
+        hit, got, true = hit + len(found & set(want)), got + len(found), true + len(want)
+    assert hit / true >= 0.9 and hit / got >= 0.9, (hit, got, true)
+
+
+def test_check_digits():
+    assert personal.checked("12345678Z") and not personal.checked("12345678A") and personal.checked("X1234567L")
+    assert personal.checked("1 85 05 78 006 084 91") and personal.checked("943 476 5919") and not personal.checked("943 476 5918")
+
+
 def test_held_out_accuracy(fitted):
     made = personal.training(300, seed=99)
     got = [set(f) for f in personal.detect([t for t, _ in made], fitted)]
