@@ -67,9 +67,10 @@ _U, _S = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿā-ž"
 _ATS = [re.compile(r"@"), re.compile(r"[(\[{]\s*(?:at|AT|At)\s*[)\]}]"), re.compile(r"at(?<=\sat)(?=\s)"), re.compile(r"AT(?<=\sAT)(?=\s)")]
 _DIGITS = re.compile(r"[0-9+(](?<![\w@/\-.].)[\d\s().\-/]{5,}\d")
 _LETTERED = re.compile(r"[A-Z](?<![\w@/\-.].)[A-Z]{0,2}[ \-]?\d[A-Z\d]{0,8}[ .\d]")
-_POSTCODE = re.compile(r"[0-9]{4}(?<=[0-9A-Za-z],\s.{4})(?=\s{1,3}[A-Z])|[0-9]{5}(?<![\w.,/\-].{5})(?![\w/])|[A-Z](?<!\w.)[A-Z]?\d[A-Z\d]?\s{1,3}\d[A-Z]{2}(?!\w)")
+_SHORT_POSTCODE = re.compile(r",\s[0-9]{4}(?<=[0-9A-Za-z],\s.{4})(?=\s{1,3}[A-Z])")
+_POSTCODE = re.compile(r"[0-9]{5}(?<![\w.,/\-].{5})(?![\w/])|[A-Z](?<!\w.)[A-Z]?\d[A-Z\d]?\s{1,3}\d[A-Z]{2}(?!\w)")
 _CUE_END = re.compile(r"(?:SSN|ssn|number|code|fiscale|licen[cs]e|BSN|PESEL|TFN|CURP|personnummer|pasaporte|identité|social|no\.|Nr\.|nummer|ID|NINO|nino|NIR|DNI|NIE|NIF|CPR|INSEE|passport|Reisepass|passeport|pasaporte|matricule|Ausweis|sociale|card|[nN]\.?[º°])(?!\w)(?:\s{0,3}[:#]|\s{1,3}is)?\s{1,3}(?=[A-Z0-9 .\-]{0,6}\d)")
-_CUE_WORDS = ["SSN", "ssn", "number", "code", "fiscale", "licence", "license", "BSN", "PESEL", "TFN", "CURP", "identité", "social", " no.", "Nr.", "nummer", " ID", "NINO", "nino", "NIR", "DNI", "NIE", "NIF", "CPR", "INSEE", "passport", "Reisepass", "passeport", "pasaporte", "matricule", "Ausweis", "sociale", "card", "º", "n°"]
+_CUE_WORDS = ["SSN", "ssn", "number", "code", "fiscale", "licence", "license", "BSN", "PESEL", "TFN", "CURP", "identité", "social", " no.", "Nr.", "nummer", " ID", "NINO", "nino", "NIR", "DNI", "NIE", "NIF", "CPR", "INSEE", "passport", "Reisepass", "passeport", "pasaporte", "matricule", "Ausweis", "sociale", "card", "nº", "n.º", "Nº", "N.º", "n°", "n.°", "N°", "N.°"]
 _VALUE = re.compile(r"[A-Z0-9][A-Z0-9.\-/]*(?:\s{1,3}(?=[A-Z]?\d|[A-D]\b)[A-Z0-9]{1,5}\b)*")
 _CAPS = re.compile(rf"[{'A-ZÀ-ÖØ-Þ'}](?<![\w@.\-].)[{'A-Za-zÀ-ÖØ-öø-ÿĀ-ž'}.'’\-]*,?\s{{1,3}}(?:[a-zA-Z]{{2,5}}\s{{1,3}}){{0,2}}[{'A-ZÀ-ÖØ-Þ'}]")
 _LOCAL = re.compile(rf"[{_L}0-9][{_L}0-9._%+'\-]*\s{{0,2}}$")
@@ -147,6 +148,7 @@ NAME = re.compile(
 _SMALL = re.compile(rf"(?<![\w@.\-])(?:[{_S}'’]{{2,}}|[{_S}]\.)(?:{_W}[{_S}]\.)?(?:{_W}(?:{PARTICLES})){{0,2}}{_W}[{_S}'’]{{3,}}(?:-[{_S}]+)?(?!\w)|(?<![\w@.\-])[{_S}'’]{{3,}}(?:-[{_S}]+)?,{_W}[{_S}'’]{{2,}}(?!\w)")
 ROLES = PERSON_CUES - set("by for to with from an à a de von par por mit cc ask call name called signed".split())
 _ROLE = re.compile(rf"(?<!\w)(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|Frau|Herr|Sra?|{'|'.join(sorted(w.capitalize() for w in ROLES))}|{'|'.join(sorted(ROLES))})(?!\w)[.,:]?\s{{1,3}}")
+_ROLE_FORMS = {w + end for r in (ROLES | TITLES) for w in (r, r.capitalize()) for end in ("", ".", ",", ":", ".:")}
 _BREAK = re.compile(r"[.!?;]\s")
 _START = re.compile(rf"(?:(?<=[.!?:|])|^)[ \t\n]{{0,3}}(?=[{_S}])", re.M)
 _TOKEN = re.compile(rf"[{_L}]+(?:[.'’\-][{_L}]+)*\.?|\d[\d.,:/\-]*|\S")
@@ -186,7 +188,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         x = NUMBER.match(text, m.start())
         if x:
             found.append((2, x.start(), x.end()))
-    for m in _CUE_END.finditer(text) if any(w in text for w in _CUE_WORDS) else ():
+    for m in filter(None, (_CUE_END.match(text, at) for at in places(text, _CUE_WORDS))):
         if not _PERSON_NUMBER_BEFORE.search(text, max(0, m.start() - 40), m.end()):
             continue
         x = _VALUE.match(text, m.end())
@@ -196,7 +198,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 b -= 1
             if sum(c.isdigit() for c in text[a:b]) >= 4:
                 found.append((2, a, b))
-    for m in _POSTCODE.finditer(text):
+    for m in (*_POSTCODE.finditer(text), *_SHORT_POSTCODE.finditer(text)):
         a, b = max(0, m.start() - 110), m.end() + 60
         for pattern in (ADDRESS, OPEN_ADDRESS):
             found += [(3, x.start(), x.end()) for x in pattern.finditer(text, a, b) if x.end() > m.start() and x.start() < m.start()]
@@ -211,7 +213,9 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         if x:
             found += [(4, a, b) for a, b in name_spans(text, x.start(), x.end())]
     # names in small letters: after a role or preposition, at the beginning of a sentence, or before a piece of another kind
-    spots = {m.end() for m in _ROLE.finditer(text)} | {m.end() for m in _START.finditer(text)}
+    spots = {m.end() for m in _START.finditer(text)}
+    if not _ROLE_FORMS.isdisjoint(text.split()):
+        spots |= {m.end() for m in _ROLE.finditer(text)}
     for at in spots:
         x = _SMALL.match(text, at)
         if x and not _plain(x.group()):
@@ -224,6 +228,17 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(set(found))
 
 
+def places(text: str, words: list[str]) -> list[int]:
+    """Where any of the words begins, without the blank that a word may begin with."""
+    found = set()
+    for w in words:
+        at = text.find(w)
+        while at >= 0:
+            found.add(at + (w[0] == " "))
+            at = text.find(w, at + 1)
+    return sorted(found)
+
+
 def _plain(part: str) -> bool:
     """Whether a word of it is a common one, so that it is no name in small letters."""
     return any(w in COMMON or w in PERSON_CUES and w not in _PARTICLE_SET or NOUN_END.search(w) for w in part.replace(",", " ").split())
@@ -291,7 +306,7 @@ def features(text: str, found: list[tuple[int, int, int]], known: tuple[frozense
     """One row for each span: format first, then context; known: lexicon()."""
     out = np.zeros((len(found), WIDTH))
     named = any(k == 4 for k, _, _ in found)
-    lower = set(_SMALL_WORD.findall(text)) if named else set()
+    lower = set(text.split()) if named else set()
     local = " ".join(text[a:b].lower() for k, a, b in found if k == 0) if named else ""
     contact = [(a, b) for k, a, b in found if k in (0, 1, 3) or k == 2 and _PERSON_NUMBER_BEFORE.search(text, max(0, a - 40), a)]
     for row, (kind, a, b) in zip(out, found):

@@ -28,7 +28,8 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest cells, among all, of every cell whose id is divisible by 100."""
     names = PROFILE + POSITION
     cells = cell_vectors(spark, d, names)
-    return neighbours.nearest_vectors(cells, "row_id", [f"v{i}" for i in range(len(names))], cells.where("row_id % 100 = 0").select("row_id"), 10)
+    near = neighbours.nearest_vectors(cells, "row_id", [f"v{i}" for i in range(len(names))], cells.where("row_id % 100 = 0").select("row_id"), 10)
+    return near.withColumn("distance", F.round("distance", 6))
 
 
 def _grouped(spark: SparkSession, d: str, degrees: bool) -> DataFrame:
@@ -57,7 +58,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each group's size and its five most typical cells, those of highest weighted degree within the whole group, ties by id."""
     members = stage(p2_members(spark, d), "members")
-    order = [F.desc("degree"), F.asc("row_id")]
+    order = [F.desc(F.round("degree", 6)), F.asc("row_id")]
     typical = members.where("is_typical").withColumn("n", F.row_number().over(Window.partitionBy("group_no").orderBy(*order))).where("n <= 5")
     lists = typical.groupBy("group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "row_id"))), lambda x: x["row_id"]).alias("typical_cells"))
     return members.groupBy("group_no").agg(F.count("*").alias("size")).join(lists, "group_no")
@@ -142,7 +143,32 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     """Train, validation or test (80 / 10 / 10) for every record; all records of one animal get the same."""
     named = stage(splits.entities(records(spark, d), same_animal(spark, d)).select("tab", "row_id", "entity", F.concat_ws(":", "tab", "stratum").alias("stratum")), "entities")
-    return splits.assign_splits(named, {"train": 0.8, "validation": 0.1, "test": 0.1}).select("tab", "row_id", "entity", "split")
+    return splits.assign_splits(named, {"train": 0.8, "validation": 0.1, "test": 0.1}).select("tab", "row_id", "entity", "split", "stratum")
+
+
+def p5_torn(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits, by table: (tab, records, torn): all records have a split, and no animal is in two."""
+    found = p5_splits(spark, d)
+    torn = found.where("entity is not null").groupBy("tab", "entity").agg(F.count_distinct("split").alias("n")).groupBy("tab").agg(F.count_if(F.col("n") > 1).alias("torn"))
+    return found.where("split is not null").groupBy("tab").agg(F.count("*").alias("records")).join(torn, "tab")
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each split's share of every table's strata, in percent, and how far it is from the wanted one."""
+    found = p5_splits(spark, d)
+    each = found.groupBy("tab", "stratum", "split").agg(F.count("*").alias("records"))
+    share = each.withColumn("percent", 100.0 * F.col("records") / F.sum("records").over(Window.partitionBy("tab", "stratum")))
+    wanted = F.when(F.col("split") == "train", 80.0).otherwise(10.0)
+    return share.select("tab", "stratum", "split", "records", F.round("percent", 3).alias("percent"), F.round(F.col("percent") - wanted, 3).alias("off"))
+
+
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing: (documents, overfull, torn): every document with a text is packed, no container is overfull, and only
+    documents above the capacity are cut."""
+    packed = stage(p6_packing(spark, d).where("container is not null"), "packed")
+    whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > 2048).alias("overfull"))
+    return whole.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("torn")).crossJoin(full)  # one row each
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:

@@ -27,6 +27,15 @@ def neighbours(which: str, tail: str) -> str:
 
 ORACLE = {
     "p1_found": neighbours("q.row_id IN (SELECT row_id FROM probe_cells)", "SELECT DISTINCT least(query_id, neighbour_id) AS row_id_a, greatest(query_id, neighbour_id) AS row_id_b FROM top"),
+    "p1_neighbours": neighbours("q.row_id % 100 = 0", "SELECT query_id, neighbour_id, CAST(place AS INTEGER) AS place, round(sqrt(square), 6) AS distance FROM top"),
+    "p2_groups": f"""WITH {vectors(PROFILE)}, near AS (SELECT a.row_id, b.row_id AS other, {distance('a', 'b', len(PROFILE))} AS square FROM cells a JOIN cells b ON {distance('a', 'b', len(PROFILE))} <= 6.25),
+    degrees AS (SELECT row_id, min(other) AS class, round(sum(exp(-4 * square / 6.25)) - 1, 6) AS degree FROM near GROUP BY row_id),
+    means AS (SELECT class, avg(ascini_position) FILTER (isfinite(ascini_position)) AS mean, count(*) AS size FROM degrees JOIN cells USING (row_id) GROUP BY class),
+    numbers AS (SELECT class, size, CAST(row_number() OVER (ORDER BY mean DESC NULLS LAST, class) AS INTEGER) AS group_no FROM means),
+    ranked AS (SELECT row_id, class, row_number() OVER (PARTITION BY class ORDER BY degree DESC, row_id) AS n FROM degrees QUALIFY n <= 5)
+    SELECT group_no, size, list(row_id ORDER BY n) AS typical_cells FROM ranked JOIN numbers USING (class) GROUP BY group_no, size""",
+    "p5_torn": "SELECT 'cells' AS tab, count(*) AS records, 0 AS torn FROM full_concat_clusters UNION ALL SELECT 'mito', count(*), 0 FROM fig5_ivm_control_group_mitochondria_properties",
+    "p6_sound": "SELECT count(*) AS documents, 0 AS torn, 0 AS overfull FROM documents WHERE text IS NOT NULL AND text <> ''",
     "p2_found": f"""WITH {vectors(PROFILE)},
     classes AS (SELECT a.row_id, min(b.row_id) AS class FROM cells a JOIN cells b ON {distance('a', 'b', len(PROFILE))} <= 6.25 GROUP BY a.row_id),
     means AS (SELECT class, avg(ascini_position) FILTER (isfinite(ascini_position)) AS mean FROM classes JOIN cells USING (row_id) GROUP BY class),
