@@ -145,10 +145,8 @@ def windows(at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     hits lie in one of these."""
     ends = np.searchsorted(at, at + (WINDOW - Q), "right")
     fine = ends - np.arange(len(at)) >= least
-    edge = np.zeros(len(at) + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(fine), 1)
-    np.add.at(edge, ends[fine], -1)
-    return ends, fine, np.cumsum(edge[:-1]) > 0
+    edge = fine.astype(np.int64) - np.bincount(ends[fine], minlength=len(at) + 1)[: len(at)]
+    return ends, fine, np.cumsum(edge) > 0
 
 
 def regions(index: Index, codes: np.ndarray, starts: np.ndarray, run_words: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
@@ -238,7 +236,7 @@ def words_in_runs(index: Index, item: int, own: list[str], begins: np.ndarray, s
     """
     pieces = set()
     for x, y in spans:
-        a, b = np.searchsorted(begins, x, "left"), np.searchsorted(begins, y, "left")
+        a, b = begins.searchsorted([x, y]).tolist()
         if b > a and begins[b - 1] + len(own[b - 1]) > y:
             b -= 1
         for j in range(a, b - run_words + 1):
@@ -298,9 +296,10 @@ def leaks(documents: DataFrame, id_column: str, text_column: str, items: DataFra
                     starts = np.cumsum([0, *map(len, pieces)])[:-1]
                     codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
                     found = regions(index, codes, starts, run_words)
-                    rows = []
+                    rows, at_doc, begins = [], -1, None
                     for (d, i), spans in sorted(found.items()):
-                        begins = 1 + np.cumsum([0, *(len(w) + 1 for w in lists[d])])[:-1]
+                        if d != at_doc:
+                            at_doc, begins = d, 1 + np.cumsum([0, *(len(w) + 1 for w in lists[d])])[:-1]
                         inside = [(x - starts[d], y - starts[d]) for x, y, _, _ in spans]
                         rows.append((ids[begin + d], int(index.ids[i]), words_in_runs(index, i, lists[d], begins, inside, run_words), share([(u, v) for _, _, u, v in spans], len(index.codes[i]))))
                     if rows:
