@@ -354,3 +354,14 @@ def variable_features(df: DataFrame, columns: list[str], k: int, total: float =
     each = _profile(scaled, columns, {"mean": F.avg, "variance": F.var_samp}).withColumn("dispersion", F.try_divide("variance", "mean"))
     ranked = each.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("dispersion"), "feature"))).where(F.col("place") <= k)  # one row per feature
     return ranked.select("feature", F.ln("dispersion").alias("log_dispersion"), "place")
+
+
+def weighted_scores(loglik: tuple, bic: tuple, aic: tuple, cv: tuple, silhouette_: tuple) -> np.ndarray:
+    """Weighted score of each number of clusters: 0.05 log-likelihood, 0.25 and 0.20 for low BIC and AIC, 0.35 held-out log-likelihood and
+    0.15 silhouette, each scaled to 0..1 over the numbers tried. A number without a silhouette (one cluster) has none."""
+
+    def scaled(values: tuple) -> np.ndarray:
+        x = np.array([np.nan if v is None else v for v in values], float)
+        return (x - np.nanmin(x)) / (np.nanmax(x) - np.nanmin(x) + 1e-10)
+
+    return 0.05 * scaled(loglik) + 0.25 * (1 - scaled(bic)) + 0.2 * (1 - scaled(aic)) + 0.15 * scaled(silhouette_) + 0.35 * scaled(cv)

@@ -185,26 +185,32 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mixture_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Mixtures of one to six Gaussians, their criteria and the chosen number."""
-    known = stage(K.component_scores(cells(spark, d).na.drop(subset=FEATURES), FEATURES, K.principal_components(cells(spark, d), FEATURES), 2).select("row_id", "component_1", "component_2"), "scores")
-    train, test = known.where(W.folds(F.col("row_id"), 5) != 0), known.where(W.folds(F.col("row_id"), 5) == 0)
-    rows, names = [], ["component_1", "component_2"]
-    held = test.count()
-    for k in range(1, 7):
+    """Mixtures of one to ten Gaussians, their criteria, held-out log-likelihood over five folds, silhouette, and the number of the
+    best weighted score."""
+    names = ["component_1", "component_2"]
+    known = stage(K.component_scores(cells(spark, d).na.drop(subset=FEATURES), FEATURES, K.principal_components(cells(spark, d), FEATURES), 2).select("row_id", *names), "scores")
+    fold, n, rows = W.folds(F.col("row_id"), 5), known.count(), []
+    for k in range(1, 11):
         model = K.gaussian_mixture(known, names, k)
-        fitted = K.gaussian_mixture(train, names, k)
+        fitted = [K.gaussian_mixture(known.where(fold != i), names, k) for i in range(5)]
 
         def score(batches, fitted=fitted):
             import pandas as pd
 
             for b in batches:
-                logs = K.log_densities(b[names].to_numpy(float), fitted)
-                yield pd.DataFrame({"s": [float(np.logaddexp.reduce(logs, axis=1).sum())]})
+                total = 0.0
+                for i, m in enumerate(fitted):
+                    x = b.loc[b["fold"] == i, names].to_numpy(float)
+                    total += float(np.logaddexp.reduce(K.log_densities(x, m), axis=1).sum()) if len(x) else 0.0
+                yield pd.DataFrame({"s": [total]})
 
-        cv = test.select(*names).mapInPandas(score, "s double").agg(F.sum("s")).first()[0] / max(1, held)
-        rows.append((k, model["loglik"], *K.information(model).values(), cv))
-    best = min(rows, key=lambda x: x[2])[0]
-    return spark.createDataFrame([(k, *[round(float(v), 3) for v in rest], k == best) for k, *rest in rows], "k int, loglik double, bic double, aic double, cv_loglik double, chosen boolean")
+        cv = known.select(*names, fold.alias("fold")).mapInPandas(score, "s double").agg(F.sum("s")).first()[0] / max(1, n)
+        shape = K.silhouette(K.mixture_labels(known, names, model), "row_id", "prediction", names).first()["silhouette"] if k > 1 else None
+        rows.append((k, model["loglik"], *K.information(model).values(), cv, shape))
+    scores = K.weighted_scores(*zip(*[x[1:] for x in rows]))
+    best = int(np.nanargmax(scores))
+    out = [(k, *[None if v is None else round(float(v), 3) for v in rest], round(float(s), 5) if np.isfinite(s) else None, i == best) for i, ((k, *rest), s) in enumerate(zip(rows, scores))]
+    return spark.createDataFrame(out, "k int, loglik double, bic double, aic double, cv_loglik double, silhouette double, score double, chosen boolean")
 
 
 @query()
@@ -371,7 +377,7 @@ def wasserstein_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def alignment_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Consensus of three supports, and with half and double tau."""
+    """Consensus of three supports, and with half and double tau."""
     left, right = two_sides(spark, d)
     base = A.consensus(left, right)
     tau = base.agg(F.percentile("w", 0.5)).first()[0] or 1.0
@@ -389,7 +395,7 @@ def alignment_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def soft_transfer(spark: SparkSession, d: str) -> DataFrame:
-    """Features and positions expected from the aligned categories."""
+    """Features and positions expected from the aligned categories."""
     left, right = two_sides(spark, d)
     weights = stage(A.consensus(left, right), "consensus")
     c = cells(spark, d, FEW).where("condition = 'STV' and cat is not null")
@@ -401,7 +407,7 @@ def soft_transfer(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CELLS} SELECT row_id, 'mito' AS name, round((coalesce(mito_density, 0) + coalesce(mito_percent_total_area, 0)) / nullif((mito_density IS NOT NULL)::INT + (mito_percent_total_area IS NOT NULL)::INT, 0), 8) AS score FROM cells UNION ALL SELECT row_id, 'ld', round(ld_density, 8) FROM cells")
 def set_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Mean over named sets of columns; missing columns don't count."""
+    """Mean over named sets of columns; missing columns don't count."""
     sets = {"mito": ["mito_density", "mito_percent_total_area"], "ld": ["ld_density", "not_there"]}
     return A.mean_over_set(cells(spark, d, ["mito_density", "mito_percent_total_area", "ld_density"]), ["row_id"], sets).select("row_id", "name", r("score").alias("score"))
 
@@ -454,13 +460,13 @@ def k_step_flow(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    """G2g, G6: components of the graph and their sizes."""
+    """G2g: components of the graph and their sizes."""
     return G.connected_components(neighbour_graph(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 @query()
 def graph_pseudotime(spark: SparkSession, d: str) -> DataFrame:
-    """Pseudotime from the cells of category 1 nearest the portal side."""
+    """Pseudotime from the cells of category 1 nearest the portal side."""
     v = vectors(spark, d).join(cells(spark, d, []).select("row_id", "position"), "row_id")
     edges = neighbour_graph(spark, d)
     roots = v.where("cat = 1 and position is not null").orderBy(F.desc("position"), "row_id").limit(5).select(F.col("row_id").alias("node"))
@@ -510,15 +516,18 @@ def lr_importance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rf_importance(spark: SparkSession, d: str) -> DataFrame:
     """M6f: impurity importance in a random forest."""
-    model = M.forest(class_rows(spark, d), FEATURES, "y", trees=40, depth=6)
+    model = M.forest(class_rows(spark, d), FEATURES, "y")
     return M.importance_table(class_rows(spark, d), FEATURES, model.featureImportances.toArray()).select("feature", r("importance", 6).alias("importance"))
 
 
+SHAP_TREES, SHAP_DEPTH = 50, 5  # the forest that Shapley values are taken of; they cost a pass over all leaves of all trees a row
+
+
 @query()
 def rf_shap(spark: SparkSession, d: str) -> DataFrame:
     """M7: mean absolute Shapley values of a forest, by class."""
     rows = class_rows(spark, d)
-    return M.shap_importance(rows, FEATURES[:8], M.forest(rows, FEATURES[:8], "y", trees=10, depth=4)).select("feature", "class", r("mean_abs", 6).alias("mean_abs"))
+    return M.shap_importance(rows, FEATURES, M.forest(rows, FEATURES, "y", trees=SHAP_TREES, depth=SHAP_DEPTH)).select("feature", "class", r("mean_abs", 6).alias("mean_abs"))
 
 
 @query()
@@ -556,7 +565,7 @@ def community_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mixture_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Agreement of mixtures fitted to subsamples, for two to four components."""
+    """Agreement of mixtures fitted to subsamples, for two to four components."""
     from lobule.operators import communities as N
 
     names = ["component_1", "component_2"]
@@ -594,10 +603,10 @@ def alignment_tau(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def root_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """Spread of pseudotime over three choices of roots."""
+    """Spread of pseudotime over five choices of roots."""
     v, edges = vectors(spark, d), neighbour_graph(spark, d)
     nodes, out = edges.select(F.col("src").alias("node")).distinct(), None
-    for run in range(3):
+    for run in range(5):
         roots = W.hash_sample(v.where("cat = 1"), "row_id", 5, seed=run).select(F.col("row_id").alias("node"))
         part = G.pseudotime(nodes, G.shortest_paths(edges, roots), roots)
         out = part if out is None else out.unionByName(part)
