@@ -155,7 +155,7 @@ def first_hits(p: DataFrame, start: DataFrame, targets: DataFrame, tolerance: fl
 def _solve(src: np.ndarray, dst: np.ndarray, chance: np.ndarray, start: np.ndarray, tolerance: float, most_rounds: int) -> tuple[np.ndarray, float]:
     """Expected visits x = start + x Q, directly for small chains, else by stabilised biconjugate gradients, and what is still on its way: the absolute
     sum of start + x Q - x, which bounds the error of all hits together."""
-    if len(start) <= DENSE:
+    if len(start) <= min(DENSE, most_rounds):  # elimination counts as a round a node
         matrix = np.eye(len(start))
         np.subtract.at(matrix, (dst, src), chance)
         x = np.linalg.solve(matrix, start)
