@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lobule.operators import graph
+from lobule.operators import communities, graph
 
 TOLD = "every round was a job of its own, whatever the size of the graph"
 
@@ -31,3 +32,12 @@ def test_graph_walks_in_one_task_equal_the_rounds(spark, web, monkeypatch, name)
     want = rows(walk(web, *more, held=0))
     taken = rounds(monkeypatch, graph)
     assert rows(walk(web, *more)) == want and len(taken) == 1, TOLD
+
+
+def test_communities_in_one_task_equal_the_rounds(web, monkeypatch):
+    for resolution in (0.5, 1.0):
+        assert rows(communities.modularity_communities(web, resolution)) == rows(communities.modularity_communities(web, resolution, held=0))
+    taken = rounds(monkeypatch, communities)
+    communities.modularity_communities(web).count()
+    assert not taken, TOLD
+    assert communities.modularity_communities(web.where(F.lit(False))).isEmpty()
