@@ -51,3 +51,32 @@ def test_rows_ask_few_other_cells():
     np.maximum.at(bound, i, d)
     rows, _ = nearest.asks(x[one], bound, cells[7], cells, low, high, tree)
     assert len(cells) == 64 and len(rows) < 6 * len(ids)
+
+
+def test_every_group_has_a_task_of_its_own(spark):
+    from lobule.operators.nearest import of, spread
+
+    for n in (1, 16, 25):
+        rows = spark.range(40 * n).select((F.col("id") % n).alias("cell")).withColumn("at", of(spread(spark, n), "cell"))
+        tasks = rows.repartition(n, "at").select("cell", F.spark_partition_id().alias("task")).distinct().collect()
+        assert len(tasks) == n == len({r["task"] for r in tasks}) == len({r["cell"] for r in tasks})
+
+
+def test_single_precision_loses_no_pair():
+    from lobule.operators.nearest import fit_tree, search
+
+    rng = np.random.default_rng(5)
+    for scale, away in ((1.0, 0.0), (1.0, 1e4), (1e-20, 0.0), (1e18, 0.0), (1.0, 1e20)):
+        x = rng.normal(size=(3000, 6)) * scale
+        x[:5] += away
+        tree, ids = fit_tree(x, 1), np.arange(len(x)) * 7
+        d = np.zeros((len(x), len(x)))
+        for c in range(6):
+            d += (x[:, c : c + 1] - x[:, c]) ** 2
+        d = np.sqrt(d)
+        np.fill_diagonal(d, np.inf)
+        for bound in (None, np.partition(d, 4, 1)[:, 4]):
+            i, found, got = search(x, ids, bound, x, ids, 5, tree)
+            order = np.lexsort((found, got, i))
+            near = np.argsort(d, 1, kind="stable")[:, :5]
+            assert (found[order].reshape(-1, 5) == ids[near]).all() and (got[order].reshape(-1, 5) == np.take_along_axis(d, near, 1)).all()
