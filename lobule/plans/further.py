@@ -407,7 +407,7 @@ def reach(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that can be reached from the first five cells of category 1, by category."""
     v = vectors(spark, d)
     start = v.where("cat = 1").orderBy("row_id").limit(5).select(F.col("row_id").alias("node"))
-    seen = G.reachable(neighbour_graph(spark, d), start)
+    seen = G.reachable(neighbour_graph(spark, d, v), start)
     return seen.join(v.select(F.col("row_id").alias("node"), "cat"), "node").groupBy("cat").agg(F.count("*").alias("n"))
 
 
