@@ -414,8 +414,9 @@ def reach(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_KN.replace('WITH ', 'WITH RECURSIVE ', 1)}, roots AS (SELECT row_id AS root FROM k WHERE cat = 1 ORDER BY row_id LIMIT 5), seen AS (SELECT root, root AS node FROM roots UNION SELECT root, dst FROM seen JOIN af ON node = src), comp AS (SELECT root, min(node) AS component FROM seen GROUP BY root), top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT DISTINCT node FROM seen JOIN comp USING (root) JOIN top USING (component)")
 def root_component(spark: SparkSession, d: str) -> DataFrame:
     """G2g: the component that holds most of the roots."""
-    roots = vectors(spark, d).where("cat = 1").orderBy("row_id").limit(5).select(F.col("row_id").alias("node"))
-    return G.root_component(neighbour_graph(spark, d), roots)
+    v = vectors(spark, d)
+    roots = v.where("cat = 1").orderBy("row_id").limit(5).select(F.col("row_id").alias("node"))
+    return G.root_component(neighbour_graph(spark, d, v), roots)
 
 
 @query(f"{_V}, n AS (SELECT k.row_id, k.cat, condition FROM k JOIN cells USING (row_id)) SELECT condition, cat, count(*) AS n, min(row_id) AS first_node, max(row_id) AS last_node FROM n GROUP BY condition, cat")
