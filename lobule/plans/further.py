@@ -422,18 +422,19 @@ def root_component(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_V}, n AS (SELECT k.row_id, k.cat, condition FROM k JOIN cells USING (row_id)) SELECT condition, cat, count(*) AS n, min(row_id) AS first_node, max(row_id) AS last_node FROM n GROUP BY condition, cat")
 def node_sets(spark: SparkSession, d: str) -> DataFrame:
     """The nodes of each condition and category."""
-    return _nodes(spark, d).groupBy("condition", "cat").agg(F.count("*").alias("n"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    return _nodes(spark, d, vectors(spark, d)).groupBy("condition", "cat").agg(F.count("*").alias("n"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).select(F.col("row_id").alias("node"), "cat").join(cells(spark, d, []).select(F.col("row_id").alias("node"), "condition"), "node")
+def _nodes(spark: SparkSession, d: str, v: DataFrame) -> DataFrame:
+    return v.select(F.col("row_id").alias("node"), "cat").join(cells(spark, d, []).select(F.col("row_id").alias("node"), "condition"), "node")
 
 
 def _breakdown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The chain, its nodes with their set's name, and (start, name, prob): where walks from each control category first enter the other
     condition."""
-    nodes = stage(_nodes(spark, d).where("condition in ('CNT', 'STV')").withColumn("name", F.concat("condition", F.col("cat").cast("string"))), "nodes")
-    p = stage(G.markov(neighbour_graph(spark, d)), "markov")
+    v = vectors(spark, d)
+    nodes = stage(_nodes(spark, d, v).where("condition in ('CNT', 'STV')").withColumn("name", F.concat("condition", F.col("cat").cast("string"))), "nodes")
+    p = stage(G.markov(neighbour_graph(spark, d, v)), "markov")
     control = nodes.where("condition = 'CNT'")
     sizes = control.groupBy("name").agg(F.count("*").alias("m"))
     starts = control.join(F.broadcast(sizes), "name").select(F.col("name").alias("start"), "node", (1.0 / F.col("m")).alias("mass"))
