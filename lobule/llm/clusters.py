@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lobule.llm.neighbours import nearest
 from lobule.operators.graph import connected_components
+from lobule.operators.nearest import halves
 from lobule.shared import groups, join_one_row_each, pack, runs, slots, stage, unpack
 
 BLOCK = 4096  # points that a block aims at; a leaf beyond four times this is cut further by hash
@@ -27,9 +28,10 @@ SAMPLE = 65_536  # rows, about, that a tree is fitted on
 NEIGHBOURS = 10
 SHRINK = 0.9  # a level that leaves more than this share of its points is idle; the next tries another tree
 IDLE = 2  # after so many idle levels in a row the medoids are joined
-REFERENCES = 256  # members of a cluster, chosen by hash, against which each member's weighted degree is taken
-CANDIDATES = 32  # members of highest degree of a cluster that are compared with all its members
-HOT = 100_000  # points of a cluster that one task compares with the references
+CANDIDATES = 32  # members of highest degree of a cluster that are marked as its candidates
+MEET = 32_768  # points of one side, at most about, that meet for their degrees
+LEAF = 512  # points compared at once
+FADED = 80.0  # terms of less than exp(-80) are no part of a degree
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -305,68 +307,80 @@ def join_medoids(nodes: DataFrame, count: int, width: int, radius: float, block:
     return named.join(heaviest, "component").select(F.col("id").alias("medoid"), "cluster")
 
 
-def compare(members: DataFrame, chosen: DataFrame, width: int, radius: float, of_chosen: bool) -> DataFrame:
-    """(id, degree): the sum of weight * exp(-(2 distance / radius)^2) between members and the chosen points of their cluster.
-
-    members, chosen: (cluster, id, vec, weight). Sums are over the chosen for each member, or, if `of_chosen`, over the members for each
-    chosen point; a point's own term counts weight - 1. Members of a cluster of more than HOT points are spread over several tasks, each
-    of which gets the few chosen ones.
-    """
-    big = members.groupBy("cluster").count().where(F.col("count") > HOT).collect()  # at most points / HOT rows
-    parts = F.lit(1)
-    if big:
-        parts = F.coalesce(F.element_at(F.create_map(*[x for r in big for x in (F.lit(r["cluster"]), F.lit(-(-r["count"] // HOT)))]), F.col("cluster")), F.lit(1))
-    left = chosen.select("cluster", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"), F.lit(0).alias("kind"), "id", "vec", "weight")
-    right = members.select("cluster", F.pmod(F.xxhash64("id", F.lit(29)), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "vec", "weight")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, y = None, [], None
-        for (cluster, part, kind), piece in runs(batches, ["cluster", "part", "kind"]):
-            if (cluster, part) != at:
-                at, known, y = (cluster, part), [], None
-            if kind == 0:
-                known.append(piece)
-                continue
-            if not known:
-                continue
-            if y is None:
-                y = np.concatenate([matrix(p.column("vec"), width) for p in known])
-                ids, mass = np.concatenate([p.column("id").to_numpy() for p in known]), np.concatenate([p.column("weight").to_numpy() for p in known])
-            x, own, weight = matrix(piece.column("vec"), width), piece.column("id").to_numpy(), piece.column("weight").to_numpy()
-            for a in range(0, len(x), 4096):
-                d = np.maximum((x[a : a + 4096] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[a : a + 4096] @ y.T, 0)
-                near = np.exp(-4 * d / radius**2)
-                same = own[a : a + 4096][:, None] == ids
-                if of_chosen:
-                    total = (near * (weight[a : a + 4096][:, None] - same)).sum(0)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "degree"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 4096]), pa.array((near * (mass - same)).sum(1))], ["id", "degree"])
-
-    met = left.unionByName(right).repartition(slots(members.sparkSession), "cluster", "part").sortWithinPartitions("cluster", "part", "kind", "id")
-    found = met.mapInArrow(work, "id long, degree double")
-    return found.groupBy("id").agg(F.sum("degree").alias("degree")) if of_chosen else found
+def kernel_sums(x: np.ndarray, of_x: np.ndarray, y: np.ndarray | None, of_y: np.ndarray | None, radius: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each row of x the sum of weight * exp(-(2 distance / radius)^2) over the rows of y, and for each of y that over x; without y among
+    the rows of x, a row's own term included. Each two rows meet once. Leaves so far apart that no term reaches exp(-FADED) are left out."""
+    scale = 2 / radius
+    sides = []
+    for z, weight in ((x, of_x), *([(y, of_y)] if y is not None else [])):
+        order, starts = halves(z, LEAF)
+        z = z[order]
+        sides.append((order, starts, np.r_[starts[1:], len(z)], z, weight[order].astype(float), np.minimum.reduceat(z, starts), np.maximum.reduceat(z, starts), np.zeros(len(z))))
+    _, starts, ends, z, mass, low, high, sums = sides[0]
+    _, begins, stops, other, weights, floor, top, back = sides[-1]
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        apart = ((scale * np.maximum(0, np.maximum(floor - high[i], low[i] - top))) ** 2).sum(1)
+        leaves = np.flatnonzero(apart <= FADED)
+        middle = (low[i] + high[i]) / 2
+        p = (z[a:b] - middle) * scale
+        left = np.column_stack([2 * p, -(p * p).sum(1), np.ones(b - a)])
+        for j in leaves[leaves >= i] if y is None else leaves:
+            c, d = begins[j], stops[j]
+            q = (other[c:d] - middle) * scale
+            size = (q * q).sum(1)
+            if -left[:, -2].min() + size.max() < 1e3:
+                near = left @ np.column_stack([q, np.ones(d - c), -size]).T
+            else:  # products would cancel
+                near = np.zeros((b - a, d - c))
+                for k in range(z.shape[1]):
+                    near -= (scale * (z[a:b, k : k + 1] - other[c:d, k])) ** 2
+            np.exp(near, out=near)
+            sums[a:b] += near @ weights[c:d]
+            if y is not None or j != i:
+                back[c:d] += mass[a:b] @ near
+    out = [np.empty(len(side[0])) for side in sides]
+    for found, side in zip(out, sides):
+        found[side[0]] = side[-1]
+    return out[0], out[1] if y is not None else None
 
 
 def member_degrees(points: DataFrame, width: int, radius: float) -> DataFrame:
-    """(id, degree, is_candidate) of points (id, cluster, vec, weight): every point's weighted degree within its whole cluster.
+    """(id, degree, is_candidate) of points (id, cluster, vec, weight): every point's weighted degree within its whole cluster, the sum of
+    weight * exp(-(2 distance / radius)^2) over all members, and whether it is one of the CANDIDATES of highest degree (to six digits, ties by id).
 
-    Degrees of all members of a cluster are taken against the same references, up to REFERENCES of its points chosen by hash, and scaled
-    to the cluster's weight, so they are exact in clusters of no more points. The CANDIDATES of highest degree are then compared with
-    every member, and have exact degrees.
+    All members of a cluster meet, each two once. Clusters of more than MEET points are cut by hash into blocks; every two blocks meet
+    in a group of their own. The cost is quadratic in a cluster's points by definition.
     """
-    by = Window.partitionBy("cluster")
-    chosen = points.withColumn("n", F.row_number().over(by.orderBy(F.xxhash64("id", F.lit(31)), "id"))).where(F.col("n") <= REFERENCES).drop("n")
-    chosen = stage(chosen, "references")
-    whole = points.groupBy("cluster").agg(F.sum("weight").alias("whole")).join(chosen.groupBy("cluster").agg(F.sum("weight").alias("known")), "cluster")
-    ratio = stage(whole.select("cluster", (F.col("whole") / F.col("known")).alias("ratio"), "whole"), "ratio")
-    rough = compare(points, chosen, width, radius, False)
-    scaled = join_one_row_each(points.join(rough, "id"), ratio, ["cluster"], "whole").withColumn("degree", F.col("degree") * F.col("ratio"))
-    scaled = stage(scaled.select("id", "cluster", "vec", "weight", "degree"), "degrees")
-    best = scaled.withColumn("n", F.row_number().over(by.orderBy(F.desc("degree"), "id"))).where(F.col("n") <= CANDIDATES).drop("n", "degree")
-    best = stage(best, "candidates")
-    exact = compare(points, best, width, radius, True).withColumnRenamed("degree", "exact")
-    return scaled.join(exact, "id", "left").select("id", F.coalesce("exact", "degree").alias("degree"), F.col("exact").isNotNull().alias("is_candidate"))
+    spark = points.sparkSession
+    big = {r["cluster"]: -(-r["count"] // MEET) for r in points.groupBy("cluster").count().where(F.col("count") > MEET).collect()}  # at most points / MEET rows
+    parts = F.lit(1)
+    if big:
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in big.items() for x in r]), F.col("cluster")), F.lit(1))
+    tagged = points.withColumn("parts", parts.cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(29)), F.col("parts")).cast("int"))
+    tagged = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = tagged.select("cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "vec", "weight")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cluster, first, second), t in groups(batches, ["cluster", "first", "second"]):
+            x, weight, at = matrix(t.column("vec"), width), t.column("weight").to_numpy(), t.column("block").to_numpy()
+            total = weight.astype(float)
+            sides = [np.flatnonzero(at == s) for s in (first, second)]
+            if first == second and len(x) > 1:
+                total, _ = kernel_sums(x, weight, None, None, radius)
+            elif first != second:
+                total = np.zeros(len(x))
+                if all(len(s) for s in sides):
+                    for s, found in zip(sides, kernel_sums(*[v for s in sides for v in (x[s], weight[s])], radius)):
+                        total[s] = found
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(np.full(len(x), cluster)), pa.array(total)], ["id", "cluster", "degree"])
+
+    meetings = sum(n * (n + 1) // 2 for n in big.values())
+    met = sent.repartition(slots(spark, min(2 * meetings, 100_000)), "cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "id")
+    found = met.mapInArrow(meet, "id long, cluster long, degree double").groupBy("id", "cluster").agg((F.sum("degree") - 1).alias("degree"))
+    degrees = stage(found, "degrees")
+    by = Window.partitionBy("cluster").orderBy(F.desc(F.round("degree", 6)), "id")
+    best = degrees.withColumn("n", F.row_number().over(by)).where(F.col("n") <= CANDIDATES).select("id", F.lit(True).alias("best"))
+    return degrees.join(best, "id", "left").select("id", "degree", F.col("best").isNotNull().alias("is_candidate"))
 
 
 def similarity_clusters(vectors: DataFrame, id_column: str, features: list[str], radius: float, k: int = NEIGHBOURS, block: int = BLOCK, sample: int = SAMPLE, degrees: bool = True) -> DataFrame:

@@ -127,6 +127,39 @@ def test_degrees_are_those_of_the_whole_cluster(spark):
         assert [r["id"] for r in mine] == sorted(np.flatnonzero(own == g).tolist(), key=lambda i: (-round(want[i], 9), i))[:3]
 
 
+@pytest.mark.parametrize("cut", [32_768, 200])
+def test_degrees_of_all_members_are_exact_in_big_clusters(spark, monkeypatch, cut):
+    # before, members of clusters of more than 256 points had estimates
+    monkeypatch.setattr(clusters, "MEET", cut)
+    monkeypatch.setattr(clusters, "LEAF", 64)
+    x, own = three_groups(500, 6)
+    x = np.r_[x, x[:100]]
+    own = np.r_[own, own[:100]]
+    rows = clusters.similarity_clusters(frame(spark, x), "row_id", NAMES, 2.5).collect()
+    near = np.exp(-4 * ((x[:, None] - x) ** 2).sum(2) / 2.5**2) * (own[:, None] == own)
+    want = near.sum(1) - 1
+    assert len(rows) == len(x) and max(abs(r["degree"] - want[r["id"]]) for r in rows) < 1e-9
+    for g in range(3):
+        ranked = sorted(np.flatnonzero((own == g) & (np.arange(len(x)) < len(x) - 100)).tolist(), key=lambda i: (-round(want[i], 6), i))
+        assert {r["id"] for r in rows if own[r["id"]] == g and r["is_candidate"] and r["id"] < len(x) - 100} == set(ranked[: clusters.CANDIDATES])
+
+
+def test_kernel_sums_far_apart_and_where_products_cancel():
+    rng = np.random.default_rng(8)
+    for away in (0.0, 5.0, 60.0, 1e7):
+        x, y = rng.normal(size=(1300, 3)), rng.normal(size=(700, 3))
+        x[::7] += away
+        y[::5, 0] += away
+        if away == 1e7:
+            x[0] = 1e9  # a leaf wider than its products bear
+        u, v = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+        near = np.exp(-4 * ((x[:, None] - y) ** 2).sum(2) / 1.5**2)
+        a, b = clusters.kernel_sums(x, u, y, v, 1.5)
+        assert np.abs(a - near @ v).max() < 1e-9 and np.abs(b - u @ near).max() < 1e-9
+        a, b = clusters.kernel_sums(x, u, None, None, 1.5)
+        assert b is None and np.abs(a - np.exp(-4 * ((x[:, None] - x) ** 2).sum(2) / 1.5**2) @ u).max() < 1e-9
+
+
 def test_clusters_of_nothing_and_of_copies(spark):
     assert clusters.similarity_clusters(frame(spark, np.empty((0, 4))), "row_id", NAMES, 1.0).count() == 0
     got = clusters.similarity_clusters(frame(spark, np.zeros((50, 4))), "row_id", NAMES, 1.0).collect()
