@@ -80,3 +80,25 @@ def test_single_precision_loses_no_pair():
             order = np.lexsort((found, got, i))
             near = np.argsort(d, 1, kind="stable")[:, :5]
             assert (found[order].reshape(-1, 5) == ids[near]).all() and (got[order].reshape(-1, 5) == np.take_along_axis(d, near, 1)).all()
+
+
+def test_rows_that_lie_apart_open_no_boxes_to_the_others(monkeypatch):
+    # before, a group of 256 rows met all rows that any of its usual rows could reach, and its box was stretched by outliers
+    met, plain = [0, 0], nearest.reached
+
+    def counted(*given):
+        found = plain(*given)
+        met[0] += found.sum()
+        met[1] += found.size
+        return found
+
+    monkeypatch.setattr(nearest, "reached", counted)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 3))
+    x[::40, 2] += rng.normal(size=150) * 1e3  # some in each group
+    ids, tree = np.arange(len(x)) * 3, nearest.fit_tree(x, 1)
+    monkeypatch.setattr(nearest, "LEAF", 32)
+    i, found, d = nearest.search(x, ids, None, x, ids, 5, tree)
+    assert met[0] < met[1] / 3
+    order = np.lexsort((found, d, i))
+    assert list(zip((i * 3)[order].tolist(), found[order].tolist(), d[order].tolist())) == [(a, b, c) for a, b, _, c in brute(ids, x, 5)]
