@@ -16,7 +16,7 @@ from lobule.operators import statistics as T
 from lobule.plans.analysis import _CE, _D, _F, _IVM, _KN, _MOM, _PL, _V, RADIUS, VECTOR, evenly, neighbour_graph, placed, two_sides, vectors
 from lobule.plans.base import CELLS, FEATURES, POSTERIORS, cells, r
 from lobule.plans.tables import ivm_cells
-from lobule.shared import free, scratch, stage, table
+from lobule.shared import scratch, stage, table
 from lobule.sources import files as S
 
 QUERIES, ORACLE = {}, {}
@@ -400,8 +400,7 @@ def forward_markov(spark: SparkSession, d: str) -> DataFrame:
     """Random walk that never goes back along the axis by more than a little; nodes without a way on stay."""
     time = cells(spark, d, []).where("position is not null").select(F.col("row_id").alias("node"), F.col("position").alias("pseudotime"))
     v = vectors(spark, d)
-    near = G.knn(v, "row_id", VECTOR, 10)
-    free(v)
+    near = G.knn(v, "row_id", VECTOR, 10, spent=v)
     return G.markov(G.both_ways(G.pair_weights(near, time)), both=True).select("src", "dst", r("p", 6).alias("p"))
 
 

@@ -102,3 +102,26 @@ def test_rows_that_lie_apart_open_no_boxes_to_the_others(monkeypatch):
     assert met[0] < met[1] / 3
     order = np.lexsort((found, d, i))
     assert list(zip((i * 3)[order].tolist(), found[order].tolist(), d[order].tolist())) == [(a, b, c) for a, b, _, c in brute(ids, x, 5)]
+
+
+def test_the_vectors_are_freed_before_the_search(spark, monkeypatch):
+    # before, they lay on the disk beside the cells until the end of the search, or of the session
+    import os
+
+    from lobule.shared import stage
+
+    x = np.random.default_rng(9).normal(size=(300, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    v, seen, plain = stage(df, "vectors"), {}, nearest.stage
+    path = v.staged_at.removeprefix("file:")
+    assert os.path.exists(path)
+
+    def watched(df, hint):
+        seen[hint] = os.path.exists(path)
+        return plain(df, hint)
+
+    monkeypatch.setattr(nearest, "stage", watched)
+    assert graph.knn(v, "id", ["a", "b"], 3, spent=v).count() == 900
+    assert seen == {"placed": True, "own": False, "knn": False}
+    twice = stage(df.union(df.selectExpr("id + 1000", "1.0", "2.0")), "vectors")  # copies of equal rows are read once more at the end
+    assert graph.knn(twice, "id", ["a", "b"], 3, spent=twice).count() == 1800 and not os.path.exists(twice.staged_at.removeprefix("file:"))
